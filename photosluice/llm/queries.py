@@ -5,12 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def effective_score(df: DataFrame) -> DataFrame:
+    """(``id``, ``score``) once an asset: null and NaN count as 0, others are limited to 0..1."""
+    s = F.col("score")
+    clean = F.when(s.isNull() | F.isnan(s), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)))
+    return df.where("asset_id is not null").groupBy(F.col("asset_id").alias("id")).agg(F.max(clean).alias("score"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.density_clusters import density_clusters
+
+    found = density_clusters(_table(spark, sf_dir, "assets"))
+    return found.select("cluster_key", F.col("id").alias("asset_id"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.density_clusters import density_clusters, exemplars
+
+    assets = _table(spark, sf_dir, "assets")
+    return exemplars(density_clusters(assets), effective_score(assets)).withColumnRenamed("id", "asset_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photosluice.llm.neighbours import neighbour_pairs
 
@@ -19,6 +41,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_clusters": p1_clusters,
         "p2_found": p2_found,
     }
 
