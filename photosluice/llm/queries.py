@@ -39,11 +39,41 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(_table(spark, sf_dir, "assets"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.coverage import pick_varied
+
+    t = [_table(spark, sf_dir, x) for x in ("pick_requests", "context_assets", "assets")]
+    return pick_varied(*t).select("request_id", "asset_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.top_groups import top_of_contexts
+
+    top = top_of_contexts(_table(spark, sf_dir, "context_assets"), _table(spark, sf_dir, "assets"))
+    return top.select(F.col("grp").alias("partition_id"), F.col("id").alias("asset_id"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.spans import shared_spans
+
+    return shared_spans(_table(spark, sf_dir, "documents"))
+
+
+def p9_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.spans import shared_parts
+
+    return shared_parts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_clusters": p1_clusters,
         "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p9_found": p9_found,
+        "p9_parts": p9_parts,
     }
 
 
