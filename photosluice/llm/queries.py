@@ -53,6 +53,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("grp").alias("partition_id"), F.col("id").alias("asset_id"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.packing import fill_report
+
+    return fill_report(p7_packed(spark, sf_dir), _table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.llm.mixing import mix_report
+
+    return mix_report(p8_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photosluice.llm.spans import shared_spans
 
@@ -72,6 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p7_packed": p7_packed,
+        "p7_fill": p7_fill,
+        "p8_mixed": p8_mixed,
+        "p8_shares": p8_shares,
         "p9_found": p9_found,
         "p9_parts": p9_parts,
     }
