@@ -5,10 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from photosluice.operators.logs import log_entries
+from photosluice.operators.nested import child_table, merged_schema, pipeline_steps, tree_nodes
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = pipeline_steps(_table(spark, sf_dir, "user_pipelines"), "steps", "id")
+    values = tree_nodes(_table(spark, sf_dir, "jobs"), "pipeline_settings", "id").where("kind not in ('object', 'array')")
+    of = lambda df, table, path: df.select(F.lit(table).alias("record_table"), F.col("id").alias("record_id"), F.col(path).alias("node_path"), "parent_path")
+    return of(steps, "user_pipelines", "node_path").unionByName(of(values, "jobs", "path")).distinct()
+
+
+def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = pipeline_steps(_table(spark, sf_dir, "user_pipelines"), "steps", "id")
+    return steps.select(F.col("id").alias("record_id"), "node_id", "parent_id", "node_path", "ordinal", "branch", "stage", "alias", "config")
+
+
+def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree_nodes(_table(spark, sf_dir, "jobs"), "pipeline_settings", "id")
+    return merged_schema(nodes).select("place", "depth", F.array_join("kinds", "|").alias("kinds"), "records")
+
+
+def p5_queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree_nodes(_table(spark, sf_dir, "jobs"), "pipeline_settings", "id")
+    return child_table(nodes, "sensitive/negative_queries/[]", ["text", "limit"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = log_entries(_table(spark, sf_dir, "jobs"), "log_output", "id", with_message=False)
+    return entries.select(F.col("id").alias("job_id"), "first_line", "last_line", "ts_us", "level", "component", "message_chars")
+
+
+def p6_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_entries(_table(spark, sf_dir, "jobs"), "log_output", "id").withColumnRenamed("id", "job_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p5_found": p5_found,
+        "p5_steps": p5_steps,
+        "p5_schema": p5_schema,
+        "p5_queries_table": p5_queries_table,
+        "p6_found": p6_found,
+        "p6_entries": p6_entries,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
