@@ -103,7 +103,7 @@ def smart_search(df: DataFrame, hits: DataFrame, max_candidates: int = 500, phot
     """Keep the first ``max_candidates`` of ``hits`` (``asset_id``, ``rank``), in the order of the hits."""
     first = hits.groupBy("asset_id").agg(F.min("rank").alias("_rank"))
     best = first.orderBy("_rank", "asset_id").limit(max_candidates)
-    found = reorder(df.join(best, "asset_id"), F.asc("_rank")).drop("_rank")
+    found = reorder(df.join(best, "asset_id"), "_rank").drop("_rank")
     return first_n(found, photo_count)
 
 

@@ -13,21 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photosluice.functions.scalars import EARTH_METRES, bits_of_hash, haversine, most_distance, place
-from photosluice.operators.frames import KEYS, in_context, split
+from photosluice.core.storage import settle
+from photosluice.operators.frames import KEYS, LAST, previous, ranged, ranked, running_sum, split
 from photosluice.operators.similarity import cosine_pairs, hamming_pairs, leaders
 
 
-def _by_gaps(df: DataFrame, new: Column) -> DataFrame:
-    """``df`` with ``_g``: number of its group, ``new`` marking the first of each, untimed ones last."""
-    timed = F.col("_us").isNotNull()
-    w = in_context().orderBy(F.asc_nulls_last("_us"), F.asc("asset_id"), F.asc("ord"))
-    starts = F.when(timed, F.coalesce(new, F.lit(1))).otherwise(F.lit(0))
-    marked = df.withColumn("_new", starts).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return marked.withColumn("_g", F.when(timed, F.col("_g")).otherwise(F.col("_g") + 1)).drop("_new")
+def _bursts(df: DataFrame, breaks) -> DataFrame:
+    """``df`` with ``_us`` and ``_g``, the number of its group: timed records in order of time and id,
+    a new group where ``breaks(before)`` holds, ``before`` being the record before; untimed ones last."""
+    df = df.withColumns({"_us": F.unix_micros("captured_at"), "_lat": place("latitude"), "_lon": place("longitude")})
+    rows = ranged(df.where("_us is not null"), KEYS, F.asc("_us"), F.asc("asset_id"), F.asc("ord"))
+    rows = previous(rows, KEYS, F.struct("_us", "_lat", "_lon"), "_before")
+    new = F.when(F.col("_before").isNull(), 1).otherwise(F.coalesce(breaks(F.col("_before")).cast("int"), F.lit(1)))
+    timed = running_sum(rows.withColumn("_new", new), KEYS, F.col("_new"), "_g").withColumn("_g", F.col("_g") - 1)
+    timed = timed.drop("_pid", "_mid", "_before", "_new")
+    groups = timed.groupBy(*KEYS).agg((F.max("_g") + 1).alias("_g"))
+    untimed = df.where("_us is null").join(groups, KEYS, "left").withColumn("_g", F.coalesce("_g", F.lit(0)))
+    return timed.unionByName(untimed)
 
 
-def _timed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_us", F.unix_micros("captured_at"))
+def _micros(minutes: float) -> int:
+    return round(minutes * 60_000_000)
 
 
 def by_time(df: DataFrame, time_window_minutes: float = 5.0) -> DataFrame:
@@ -36,47 +42,41 @@ def by_time(df: DataFrame, time_window_minutes: float = 5.0) -> DataFrame:
     Gaps are compared in whole microseconds, one as long as the window stays together. Order is
     by time, then id. Records without a time form the last group.
     """
-    window = round(time_window_minutes * 60_000_000)
-    df = _timed(df)
-    w = in_context().orderBy(F.asc_nulls_last("_us"), F.asc("asset_id"), F.asc("ord"))
-    grouped = _by_gaps(df, (F.col("_us") - F.lag("_us").over(w) > window).cast("int"))
-    return split(grouped, "time", "_g", F.asc_nulls_last("_us"), F.asc("asset_id")).drop("_us", "_g")
+    window = _micros(time_window_minutes)
+    grouped = _bursts(df, lambda before: F.col("_us") - before["_us"] > window)
+    return split(grouped, "time", "_g", F.coalesce("_us", F.lit(LAST))).drop("_us", "_g", "_lat", "_lon")
 
 
 def by_time_and_place(df: DataFrame, time_window_minutes: float = 5.0, gps_window_meters: float = 100.0) -> DataFrame:
     """As :func:`by_time`, but a record also begins a new group if it lies farther than the second
     window from the one before it, or if either has no place."""
-    window = round(time_window_minutes * 60_000_000)
-    df = _timed(df).withColumn("_lat", place("latitude")).withColumn("_lon", place("longitude"))
-    w = in_context().orderBy(F.asc_nulls_last("_us"), F.asc("asset_id"), F.asc("ord"))
-    before = lambda c: F.lag(c).over(w)
-    near = haversine(before("_lat"), before("_lon"), "_lat", "_lon") <= gps_window_meters
-    stays = (F.col("_us") - before("_us") <= window) & F.coalesce(near, F.lit(False))
-    grouped = _by_gaps(df, (~stays).cast("int"))
-    return split(grouped, "time_gps", "_g", F.asc_nulls_last("_us"), F.asc("asset_id")).drop("_us", "_g", "_lat", "_lon")
+    window = _micros(time_window_minutes)
+
+    def breaks(before: Column) -> Column:
+        near = haversine(before["_lat"], before["_lon"], "_lat", "_lon") <= gps_window_meters
+        return (F.col("_us") - before["_us"] > window) | ~F.coalesce(near, F.lit(False))
+
+    grouped = _bursts(df, breaks)
+    return split(grouped, "time_gps", "_g", F.coalesce("_us", F.lit(LAST))).drop("_us", "_g", "_lat", "_lon")
 
 
 def _anchored(radius: float):
-    """Numbers of the groups of one burst: a record joins the first group whose first record is near."""
+    """Numbers of the groups of one burst: a place joins the first group whose first place is near."""
 
     def assign(burst: pd.DataFrame) -> pd.DataFrame:
-        burst = burst.sort_values(["us", "asset_id", "pos"], kind="stable")
+        burst = burst.sort_values("first", kind="stable")
         lat, lon = np.radians(burst["lat"].to_numpy(float)), np.radians(burst["lon"].to_numpy(float))
-        here = ~(np.isnan(lat) | np.isnan(lon))
         group = np.zeros(len(burst), np.int64)
-        if here.any():
-            al, ao = np.empty(len(burst)), np.empty(len(burst))
-            n = 0
-            for i in np.flatnonzero(here):
-                a = np.sin((al[:n] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(al[:n]) * np.sin((ao[:n] - lon[i]) / 2) ** 2
-                near = 2 * EARTH_METRES * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= radius
-                at = int(near.argmax()) if n and near.any() else n
-                if at == n:
-                    al[n], ao[n] = lat[i], lon[i]
-                    n += 1
-                group[i] = at
-            group[~here] = n
-        return pd.DataFrame({"branch": burst["branch"], "path": burst["path"], "pos": burst["pos"], "big": burst["big"], "sub": group})
+        al, ao, n = np.empty(len(burst)), np.empty(len(burst)), 0
+        for i in range(len(burst)):
+            a = np.sin((al[:n] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(al[:n]) * np.sin((ao[:n] - lon[i]) / 2) ** 2
+            near = 2 * EARTH_METRES * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= radius
+            at = int(near.argmax()) if n and near.any() else n
+            if at == n:
+                al[n], ao[n] = lat[i], lon[i]
+                n += 1
+            group[i] = at
+        return burst[["branch", "path", "big", "lat", "lon"]].assign(sub=group)
 
     return assign
 
@@ -85,25 +85,25 @@ def by_time_and_anchor(df: DataFrame, time_window_minutes: float = 5.0, gps_wind
     """Bursts divided by place: in time order, a record joins the first group of its burst whose
     first record is within the radius, else founds one; those without a place follow as one group.
     A burst of which no record has a place stays whole. Untimed records form the last group."""
-    window = round(time_window_minutes * 60_000_000)
-    df = _timed(df)
-    w = in_context().orderBy(F.asc_nulls_last("_us"), F.asc("asset_id"), F.asc("ord"))
-    bursts = _by_gaps(df, (F.col("_us") - F.lag("_us").over(w) > window).cast("int"))
-    path = F.to_json("ctx")
-    bursts = bursts.withColumns({"path": path, "pos": F.row_number().over(w).cast("long")})
-    inputs = bursts.where("_us is not null").select(
-        "branch", "path", F.col("_g").alias("big"), "pos", F.col("_us").alias("us"), "asset_id", place("latitude").alias("lat"), place("longitude").alias("lon")
-    )
-    subs = inputs.groupBy("branch", "path", "big").applyInPandas(_anchored(gps_window_meters), "branch string, path string, pos long, big long, sub long")
-    joined = bursts.join(subs.select("branch", "path", "pos", "sub"), ["branch", "path", "pos"], "left")
-    number = F.dense_rank().over(in_context().orderBy("_g", F.coalesce("sub", F.lit(0)))) - 1
-    out = joined.withColumn("_n", number)
-    return split(out, "time_gps_anchor", "_n", F.asc_nulls_last("_us"), F.asc("asset_id")).drop("_us", "_g", "_n", "sub", "pos", "path")
+    window = _micros(time_window_minutes)
+    bursts = settle(_bursts(df, lambda before: F.col("_us") - before["_us"] > window).withColumn("path", F.to_json("ctx")), "bursts")
+    # the first record of a place stands for all at the very same place
+    spots = bursts.where("_us is not null and _lat is not null and _lon is not null")
+    spots = spots.groupBy("branch", "path", F.col("_g").alias("big"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).agg(F.min(F.struct("_us", "asset_id", "ord")).alias("f"))
+    order = Window.partitionBy("branch", "path", "big").orderBy("f")
+    spots = spots.select("branch", "path", "big", "lat", "lon", F.row_number().over(order).alias("first"))
+    subs = spots.groupBy("branch", "path", "big").applyInPandas(_anchored(gps_window_meters), "branch string, path string, big long, lat double, lon double, sub long")
+    subs = settle(subs.select("branch", "path", F.col("big").alias("_g"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "sub"), "places")
+    count = subs.groupBy("branch", "path", "_g").agg((F.max("sub") + 1).alias("_n"))
+    joined = bursts.join(subs, ["branch", "path", "_g", "_lat", "_lon"], "left").join(count, ["branch", "path", "_g"], "left")
+    joined = settle(joined.withColumn("_sub", F.coalesce("sub", "_n", F.lit(0))), "placed")
+    groups = ranked(joined.select(*KEYS, "_g", "_sub").distinct(), KEYS, "_k", F.asc("_g"), F.asc("_sub"))
+    out = joined.join(groups, [*KEYS, "_g", "_sub"])
+    return split(out, "time_gps_anchor", "_k", F.coalesce("_us", F.lit(LAST))).drop("_us", "_lat", "_lon", "_g", "_sub", "_n", "_k", "sub", "path")
 
 
 def _with_position(df: DataFrame) -> DataFrame:
-    w = in_context().orderBy(F.asc("ord"), F.asc("asset_id"))
-    return df.withColumn("_at", F.row_number().over(w).cast("long"))
+    return settle(ranked(df, KEYS, "_at", F.asc("ord"), F.asc("asset_id")).withColumn("path", F.to_json("ctx")), "placed")
 
 
 def by_hash(df: DataFrame, threshold: float = 0.90) -> DataFrame:
@@ -123,17 +123,17 @@ def by_hash(df: DataFrame, threshold: float = 0.90) -> DataFrame:
 
 
 def _split_by_leader(df: DataFrame, name: str) -> DataFrame:
-    late = F.when(F.col("_lead").isNull(), 1).otherwise(0)
-    first = F.coalesce("_lead", "_at")
-    number = F.dense_rank().over(in_context().orderBy(late, first)) - 1
-    return split(df.withColumn("_g", number), name, "_g").drop("_g", "_lead", "_at")
+    """Groups in order of their leaders, then the records without one, each alone."""
+    df = df.withColumns({"_late": F.col("_lead").isNull(), "_lead": F.coalesce("_lead", "_at")})
+    groups = ranked(df.select(*KEYS, "_late", "_lead").distinct(), KEYS, "_g", F.asc("_late"), F.asc("_lead"))
+    return split(df.join(groups, [*KEYS, "_late", "_lead"]), name, "_g").drop("_g", "_lead", "_late", "_at", "path")
 
 
 def _by_vectors(df: DataFrame, name: str, threshold: float) -> DataFrame:
     df = _with_position(df)
     has = F.coalesce(F.size("embedding") > 0, F.lit(False))
     usable = has & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    df = df.withColumns({"_ok": F.coalesce(usable, F.lit(False)), "path": F.to_json("ctx")})
+    df = df.withColumn("_ok", F.coalesce(usable, F.lit(False)))
     # exact copies resemble the same records: only the first of each takes part, unless it has no length
     key = F.when(F.exists("embedding", lambda x: x != 0.0), F.xxhash64("embedding")).otherwise(F.col("_at"))
     df = df.withColumn("_key", F.when(F.col("_ok"), key))
@@ -142,7 +142,7 @@ def _by_vectors(df: DataFrame, name: str, threshold: float) -> DataFrame:
     led = leaders(pairs, "branch", "path")
     of = nodes.select("branch", "path", "_key", "n").join(led, ["branch", "path", "n"], "left")
     of = of.select("branch", "path", "_key", F.coalesce("leader", "n").alias("_lead"))
-    return _split_by_leader(df.join(of, ["branch", "path", "_key"], "left"), name).drop("_ok", "_key", "path")
+    return _split_by_leader(df.join(of, ["branch", "path", "_key"], "left"), name).drop("_ok", "_key")
 
 
 def by_near_vectors(df: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -160,10 +160,10 @@ def evenly(df: DataFrame, number_of_partitions: int = 4) -> DataFrame:
     """Deal the records of each context in turn to so many groups, no more than it has records."""
     if number_of_partitions < 1:
         raise ValueError("number_of_partitions must be at least 1")
-    w = in_context().orderBy(F.asc("ord"), F.asc("asset_id"))
-    at = F.row_number().over(w) - 1
-    groups = F.least(F.lit(number_of_partitions), F.count("*").over(in_context()))
-    return split(df.withColumn("_g", at % groups), "evenly", "_g").drop("_g")
+    placed = ranked(df, KEYS, "_at", F.asc("ord"), F.asc("asset_id"))
+    counted = placed.join(df.groupBy(*KEYS).agg(F.count("*").alias("_n")), KEYS)
+    groups = F.least(F.lit(number_of_partitions), F.col("_n"))
+    return split(counted.withColumn("_g", F.col("_at") % groups), "evenly", "_g").drop("_g", "_at", "_n")
 
 
 def sizes(df: DataFrame) -> DataFrame:

@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photosluice.functions.scalars import bits_of_hash, hamming, most_distance, parse_day, unit_score
-from photosluice.operators.frames import KEYS, columns_or_null, in_context
+from photosluice.functions.scalars import bits_of_hash, cosine, hamming, most_distance, parse_day, pick_limit, unit_score
+from photosluice.core.storage import settle
+from photosluice.operators.frames import KEYS, columns_or_null, in_context, ranked, union_all
 from photosluice.operators.similarity import hamming_pairs, leaders
 from photosluice.sources.library import as_day
 
 
+ONE_TASK = 20_000  # records of a context that one task picks from, about 15 MB
+
+
 def _size(df: DataFrame) -> Column:
     """File size noted in the picture itself, 0 if unknown."""
     return F.coalesce("exif_size", F.lit(0))
@@ -53,21 +57,20 @@ def balanced(df: DataFrame, min_photos: int = 300, max_photos: int = 500) -> Dat
     low = min(min_photos, max_photos)
     score = F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0))
     utc = F.to_utc_timestamp("captured_at", F.current_timezone())
-    df = df.withColumns({"_s": score, "_month": F.date_format(utc, "yyyy-MM")})
-    key = F.struct("ord", "asset_id")
-    month = Window.partitionBy(*KEYS, "_month")
-    df = df.withColumn("_first", F.min(key).over(month))
-    seen = df.where("_month is not null").groupBy(*KEYS).agg(F.count_distinct("_month").alias("_months"))
-    df = df.join(seen, KEYS, "left")
+    df = df.withColumns({"_s": score, "_month": F.coalesce(F.date_format(utc, "yyyy-MM"), F.lit("-"))})
+    months = df.groupBy(*KEYS, "_month").agg(F.min(F.struct("ord", "asset_id")).alias("_first"))
+    seen = months.where("_month <> '-'").groupBy(*KEYS).agg(F.count("*").alias("_months"))
+    # beyond its first `max_photos` a month can't contribute
+    month = Window.partitionBy(*KEYS, "_month").orderBy(F.desc("_s"), F.asc("ord"), F.asc("asset_id"))
+    df = df.withColumn("_place", F.row_number().over(month)).where(F.col("_place") <= max_photos)
+    df = df.join(months, [*KEYS, "_month"]).join(seen, KEYS, "left")
     quota = F.greatest(F.lit(1), F.floor(F.lit(low) / F.col("_months")))
-    place = F.row_number().over(month.orderBy(F.desc("_s"), F.asc("ord"), F.asc("asset_id")))
-    due = F.col("_month").isNotNull() & (place <= quota)
-    df = df.withColumn("_due", F.coalesce(due, F.lit(False)))
+    df = df.withColumn("_due", (F.col("_month") != "-") & (F.col("_place") <= quota))
     # within the quota first, then the rest; untimed records after the timed of equal score
-    late = F.when(F.col("_month").isNull(), 1).otherwise(0)
+    late = F.when(F.col("_month") == "-", 1).otherwise(0)
     w = in_context().orderBy(F.desc("_due"), F.desc("_s"), F.asc(late), F.asc("_first"), F.asc("ord"), F.asc("asset_id"))
     chosen = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_photos)
-    return chosen.drop("_s", "_month", "_first", "_months", "_due", "_r").withColumn("selected", F.lit(True))
+    return chosen.drop("_s", "_month", "_first", "_months", "_due", "_r", "_place").withColumn("selected", F.lit(True))
 
 
 def _mmr(max_picks: int, share: float, quality: float, diversity: float):
@@ -79,7 +82,7 @@ def _mmr(max_picks: int, share: float, quality: float, diversity: float):
         n = len(score)
         limit = min(max_picks, max(1, int(np.ceil(share * n))), n)
         vectors = group["embedding"]
-        known = np.array([v is not None and len(v) > 0 for v in vectors])
+        known = np.array([v is not None and len(v) > 0 and bool(np.isfinite(np.asarray(v, float)).all()) for v in vectors])
         if known.any():
             width = {len(v) for v, k in zip(vectors, known) if k}
             if len(width) > 1:
@@ -121,17 +124,46 @@ def diverse_pick(
     First the best score (smaller id on ties); then, again and again, the largest weighted sum of
     score (scaled to the context's range) and of distance to the nearest pick. Records without an
     embedding add no diversity; without any embedding, scores decide. At most ``max_picks`` and
-    the given share of the context. Flags: ``group_pick``, and ``group_best`` for the first.
+    the given share of the context. An embedding with numbers that are not finite counts as none. Flags: ``group_pick``, and ``group_best`` for the first.
     """
-    w = in_context().orderBy(F.asc("ord"), F.asc("asset_id"))
-    rows = df.withColumns({"path": F.to_json("ctx"), "pos": F.row_number().over(w).cast("long")})
-    inputs = rows.select("branch", "path", "pos", "asset_id", unit_score("score").alias("score"), "embedding")
-    picks = inputs.groupBy("branch", "path").applyInPandas(
+    columns = df.columns
+    rows = settle(ranked(df, KEYS, "pos", F.asc("ord"), F.asc("asset_id")).withColumn("path", F.to_json("ctx")), "scenes")
+    counts = rows.groupBy("branch", "path").agg(F.count("*").alias("_n"))
+    inputs = rows.select("branch", "path", "pos", "asset_id", unit_score("score").alias("score"), "embedding").join(counts, ["branch", "path"])
+    few, many = inputs.where(F.col("_n") <= ONE_TASK).drop("_n"), inputs.where(F.col("_n") > ONE_TASK)
+    picks = few.groupBy("branch", "path").applyInPandas(
         _mmr(max_picks, pick_percentage, quality_weight, diversity_weight), "branch string, path string, pos long, turn long"
     )
+    if counts.where(F.col("_n") > ONE_TASK).limit(1).count():
+        picks = picks.unionByName(_mmr_rounds(many, max_picks, pick_percentage, quality_weight, diversity_weight))
     above = F.transform("ctx", lambda x: x["idx"])
     chosen = rows.join(picks, ["branch", "path", "pos"])
-    return chosen.withColumns({"ord": F.concat(above, F.array("turn")), "group_pick": F.lit(True), "group_best": F.col("turn") == 0}).drop("path", "pos", "turn")
+    flagged = chosen.withColumns({"ord": F.concat(above, F.array("turn")), "group_pick": F.lit(True), "group_best": F.col("turn") == 0})
+    return flagged.select(*columns, "group_pick", *([] if "group_best" in columns else ["group_best"]))
+
+
+def _mmr_rounds(rows: DataFrame, max_picks: int, share: float, quality: float, diversity: float) -> DataFrame:
+    """As :func:`_mmr` for contexts too large for one task: each round picks the best of every context."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    known = F.coalesce((F.size("embedding") > 0) & finite, F.lit(False))
+    stats = rows.groupBy("branch", "path").agg(
+        F.min("score").alias("lo"), F.max("score").alias("hi"), F.max(known).alias("any"), pick_limit(F.count("*"), max_picks, share).alias("limit")
+    )
+    level = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
+    state = rows.drop("_n").join(stats, ["branch", "path"]).withColumns({"level": level, "known": known, "nearest": F.lit(0.0)}).drop("lo", "hi")
+    state, out = settle(state, "round"), []
+    for turn in range(max_picks):
+        marginal = quality * F.col("level") + diversity * F.when(F.col("known"), 1 - F.col("nearest")).otherwise(0.0)
+        value = F.col("score") if turn == 0 else F.round(F.when(F.col("any"), marginal).otherwise(F.col("score")), 12)
+        best_key = F.struct((-value).alias("v"), "asset_id", "pos")
+        open_rows = state.where(F.col("limit") > turn)
+        picked = settle(open_rows.groupBy("branch", "path").agg(F.min(best_key).alias("k"), F.min_by("embedding", best_key).alias("pick")), "pick")
+        out.append(picked.select("branch", "path", F.col("k.pos").alias("pos"), F.lit(turn).cast("long").alias("turn")))
+        near = F.when(F.col("known") & (F.size("pick") > 0), cosine("embedding", "pick"))
+        near = F.when(~F.isnan(near), near)
+        state = open_rows.join(picked.select("branch", "path", F.col("k.pos").alias("_p"), "pick"), ["branch", "path"]).where("pos <> _p")
+        state = settle(state.withColumn("nearest", F.greatest("nearest", F.coalesce(near, F.lit(0.0)))).drop("_p", "pick"), "round")
+    return union_all(out)
 
 
 def avoid_repeat(df: DataFrame, run_date: date | str, days: int = 30, photo_count: int = 500, history: DataFrame | None = None) -> DataFrame:
@@ -152,11 +184,13 @@ def avoid_repeat(df: DataFrame, run_date: date | str, days: int = 30, photo_coun
         own = F.coalesce(own, "_shown")
     df = df.withColumn("_last", own)
     fresh = F.col("_last").isNull() | (F.col("_last") <= cutoff)
-    df = df.withColumn("_fresh", fresh)
-    missing = F.lit(photo_count) - F.count_if("_fresh").over(in_context())
-    turn = F.row_number().over(in_context("_fresh").orderBy(F.asc("_last"), F.asc("asset_id"), F.asc("ord")))
-    df = df.withColumns({"_missing": missing, "_turn": turn}).where(F.col("_fresh") | (F.col("_turn") <= F.col("_missing")))
-    return df.withColumn("fallback_backfilled", ~F.col("_fresh")).drop("_shown", "_last", "_fresh", "_missing", "_turn")
+    df = df.withColumn("fallback_backfilled", ~fresh)
+    new = df.where("not fallback_backfilled")
+    counts = new.groupBy(*KEYS).agg(F.count("*").alias("_have"))
+    turn = F.row_number().over(in_context().orderBy(F.asc("_last"), F.asc("asset_id"), F.asc("ord")))
+    old = df.where("fallback_backfilled").withColumn("_turn", turn).where(F.col("_turn") <= photo_count)
+    old = old.join(counts, KEYS, "left").where(F.col("_turn") <= F.lit(photo_count) - F.coalesce("_have", F.lit(0)))
+    return new.unionByName(old.drop("_turn", "_have")).drop("_shown", "_last")
 
 
 def hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
@@ -204,14 +238,14 @@ def drop_hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     Groups form around the first record by time and id. The highest score stays, on ties the
     smaller id, and bears ``group_id``; losers are removed by id.
     """
-    w = in_context().orderBy(F.asc_nulls_last(F.unix_micros("captured_at")), F.asc("asset_id"), F.asc("ord"))
-    rows = df.withColumns({"_at": F.row_number().over(w).cast("long"), "path": F.to_json("ctx")})
-    groups = hash_duplicates(rows, threshold).select("branch", "path", F.col("n").alias("_at"), "leader")
-    marked = rows.join(groups, ["branch", "path", "_at"], "left")
-    rank = Window.partitionBy("branch", "path", "leader").orderBy(F.desc(unit_score("score")), F.asc("asset_id"), F.asc("ord"))
-    ranked = marked.withColumn("_r", F.when(F.col("leader").isNotNull(), F.row_number().over(rank)))
-    losers = ranked.where("_r > 1").select("branch", "path", "asset_id").distinct()
-    kept = ranked.join(losers, ["branch", "path", "asset_id"], "left_anti")
-    number = F.dense_rank().over(in_context().orderBy(F.asc_nulls_last("leader"))) - 1
-    named = F.when(F.col("leader").isNotNull(), F.concat(F.lit("phash:"), number.cast("string")))
-    return kept.withColumn("group_id", named).drop("_at", "path", "leader", "_r")
+    rows = ranked(df, KEYS, "_at", F.asc_nulls_last("captured_at"), F.asc("asset_id"), F.asc("ord"))
+    rows = settle(rows.withColumn("path", F.to_json("ctx")), "timed")
+    groups = settle(hash_duplicates(rows, threshold).select("branch", "path", F.col("n").alias("_at"), "leader"), "groups")
+    members = rows.select(*KEYS, "path", "_at", "asset_id", unit_score("score").alias("_s")).join(groups, ["branch", "path", "_at"])
+    winners = members.groupBy(*KEYS, "path", "leader").agg(F.min(F.struct((-F.col("_s")).alias("s"), "asset_id", "_at")).alias("w"))
+    numbered = ranked(winners.select(*KEYS, "path", "leader", F.col("w.asset_id").alias("_winner"), F.col("w._at").alias("_at")), KEYS, "_number", F.asc("leader"))
+    numbered = settle(numbered, "winners")
+    losers = members.join(numbered.select("branch", "path", "leader", F.col("_at").alias("_best")), ["branch", "path", "leader"]).where("_at <> _best")
+    kept = rows.join(losers.select("branch", "path", "asset_id").distinct(), ["branch", "path", "asset_id"], "left_anti")
+    named = numbered.select("branch", "path", "_at", F.concat(F.lit("phash:"), F.col("_number").cast("string")).alias("group_id"))
+    return kept.drop("group_id").join(named, ["branch", "path", "_at"], "left").drop("_at", "path")

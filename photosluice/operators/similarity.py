@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photosluice.core.storage import settle
@@ -44,14 +44,14 @@ def hamming_pairs(nodes: DataFrame, most: int, *keys: str, bits: int = 64) -> Da
 def cosine_pairs(nodes: DataFrame, threshold: float, *keys: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(``keys``, ``i``, ``j``, ``cosine``) with ``i < j`` for nodes (``keys``, ``n``, ``embedding``) of that cosine or more.
 
-    Every group is cut into blocks of ``block_rows`` nodes and each pair of blocks is compared in
-    a task of its own, in double; only similar pairs leave it. All embeddings of a group must have
+    ``n`` numbers a group's nodes, at best without gaps. Every group is cut into blocks of
+    ``block_rows`` numbers and each pair of blocks is compared in a task of its own, in double;
+    only similar pairs leave it. All embeddings of a group must have
     the same size. Vectors of no length resemble nothing.
     """
-    order = Window.partitionBy(*keys).orderBy("n") if keys else Window.orderBy("n")
-    blocked = nodes.withColumn("_b", F.floor((F.row_number().over(order) - 1) / block_rows).cast("int"))
-    counts = blocked.groupBy(*keys).agg(F.max("_b").alias("_most")) if keys else blocked.agg(F.max("_b").alias("_most"))
-    sized = blocked.join(counts, list(keys)) if keys else blocked.join(counts, F.lit(True))
+    blocked = nodes.withColumn("_b", F.floor(F.col("n") / block_rows).cast("int"))
+    most = blocked.groupBy(*keys).agg(F.max("_b").alias("_most")) if keys else blocked.agg(F.max("_b").alias("_most"))
+    sized = blocked.join(most, list(keys)) if keys else blocked.join(F.broadcast(most), F.lit(True))  # one row
     b, m = F.col("_b"), F.col("_most")
     meets = F.transform(F.sequence(F.lit(0), m), lambda o: F.struct(F.least(o, b).alias("lo"), F.greatest(o, b).alias("hi")))
     dealt = sized.select(*keys, "n", "embedding", "_b", F.explode(meets).alias("_p")).select(*keys, "n", "embedding", "_b", "_p.*")
