@@ -146,16 +146,24 @@ def pack(
             out.append(_boxes(table, index, at, whole[at], whole[at] * capacity, rest[at], pack_id, capacity, 0, full, one_shard))
         return pa.concat_tables(out) if out else _rows(table, "", *[np.zeros(0, np.int64)] * 4, [], np.zeros(0), np.zeros(0, bool))
 
-    packed = settle(
-        bags.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(first, schema), "packed"
-    )
+    # a shard's work is far heavier than its bytes: a fixed number of tasks keeps them apart
+    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    dealt = bags.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(tasks, "shard")
+    packed = settle(dealt.groupBy("shard").applyInArrow(first, schema), "packed")
     parts, level = [packed.where("kept").drop("kept")], 0
     capacity_of = dict(packs)
     while shards > 1:
-        shards, level = max(1, shards // 32), level + 1
+        most = packed.where("not kept").groupBy("pack_id").count().agg(F.max("count").alias("m")).first()["m"]
+        if not most:
+            break
+        fewer, level = -(-most // docs_per_shard), level + 1
+        if 2 * fewer > shards > 2 and level > 1:
+            # packing them again no longer helps: they stay as they are
+            parts.append(packed.where("not kept").drop("kept"))
+            break
+        shards = fewer
         rest = packed.where("not kept").select("pack_id", "doc_id", "piece", "token_start", F.col("tokens").alias("size")).join(bags, "doc_id")
-
-        keyed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(shards)))
+        keyed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(shards))).repartition(tasks, "pack_id", "shard")
         packed = settle(keyed.groupBy("pack_id", "shard").applyInArrow(_again(idf, mean, capacity_of, level, full, shards == 1), schema), "packed")
         parts.append(packed.where("kept").drop("kept"))
     out = parts[0]
