@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photosluice.functions.scalars import asset_file_name
-from photosluice.operators.frames import KEYS, context_id
+from photosluice.operators.frames import KEYS, context_id, ranked
 from photosluice.sources.library import as_day
 
 
@@ -75,12 +75,11 @@ def export_rows(df: DataFrame, include_embeddings: bool = False) -> DataFrame:
     if "embedding" in rest and not include_embeddings:
         note = F.when(F.col("embedding").isNotNull(), F.concat(F.lit("<omitted: "), F.size("embedding").cast("string"), F.lit("-dim vector>")))
         df = df.withColumn("embedding", note)
-    from photosluice.operators.frames import in_order
-
-    return df.select(
+    placed = ranked(df, KEYS, "_position", F.asc("ord"), F.asc("asset_id"))
+    return placed.select(
         "branch",
         context_id().alias("context_id"),
-        (F.row_number().over(in_order()) - 1).alias("position"),
+        F.col("_position").alias("position"),
         asset_file_name("asset_id", "mime_type").alias("file_name"),
         F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("record"),
     )

@@ -9,9 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from photosluice.sources.cache import latest
 
 
-def burst_sessions(captures: DataFrame, gap: str = "5 minutes", late: str = "1 hour", *keys: str) -> DataFrame:
-    """(``keys``, ``start``, ``stop``, ``records``) of bursts in a stream of captures, each closed once no
-    record ``late`` or less behind the newest can still join it."""
+def burst_sessions(captures: DataFrame, *keys: str, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """(``keys``, ``start``, ``stop``, ``records``) of bursts in a stream of captures.
+
+    A burst is closed once no record ``late`` or less behind the newest can still join it. Streams
+    have sessions only by key, such as the album or the camera.
+    """
+    if not keys:
+        raise ValueError("sessions of a stream need a key")
     timed = captures.where("captured_at is not null").withWatermark("captured_at", late)
     session = F.session_window("captured_at", gap)
     return timed.groupBy(session, *keys).agg(F.count("*").alias("records")).select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "records")
