@@ -92,7 +92,19 @@ def by_time_and_anchor(df: DataFrame, time_window_minutes: float = 5.0, gps_wind
     spots = spots.groupBy("branch", "path", F.col("_g").alias("big"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).agg(F.min(F.struct("_us", "asset_id", "ord")).alias("f"))
     order = Window.partitionBy("branch", "path", "big").orderBy("f")
     spots = spots.select("branch", "path", "big", "lat", "lon", F.row_number().over(order).alias("first"))
-    subs = spots.groupBy("branch", "path", "big").applyInPandas(_anchored(gps_window_meters), "branch string, path string, big long, lat double, lon double, sub long")
+    spots = settle(spots, "spots")
+    keys = ["branch", "path", "big"]
+    near = lambda c: haversine(f"{c}.lat", f"{c}.lon", "lat", "lon") <= gps_window_meters
+    lead = lambda df, c: df.groupBy(*keys).agg(F.min_by(F.struct("lat", "lon"), "first").alias(c))
+    # most bursts have one or two groups, which need no search in order
+    one = spots.join(lead(spots, "p0"), keys).withColumn("n0", near("p0"))
+    two = one.join(lead(one.where("not n0"), "p1"), keys, "left")
+    tried = settle(two.select(*keys, "lat", "lon", "first", F.when(F.col("n0"), F.lit(0)).when(near("p1"), F.lit(1)).cast("long").alias("sub")), "tried")
+    hard = tried.where("sub is null").select(*keys).distinct()
+    searched = tried.join(hard, keys, "left_semi").groupBy(*keys).applyInPandas(
+        _anchored(gps_window_meters), "branch string, path string, big long, lat double, lon double, sub long"
+    )
+    subs = tried.join(hard, keys, "left_anti").drop("first").unionByName(searched)
     subs = settle(subs.select("branch", "path", F.col("big").alias("_g"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "sub"), "places")
     count = subs.groupBy("branch", "path", "_g").agg((F.max("sub") + 1).alias("_n"))
     joined = bursts.join(subs, ["branch", "path", "_g", "_lat", "_lon"], "left").join(count, ["branch", "path", "_g"], "left")
@@ -116,7 +128,7 @@ def by_hash(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     hashed = df.where("_bits is not null")
     # equal hashes always share a group: only the first of each takes part
     nodes = hashed.groupBy(*KEYS, F.col("_bits").alias("bits")).agg(F.min("_at").alias("n"))
-    nodes = nodes.withColumn("path", F.to_json("ctx"))
+    nodes = settle(nodes.withColumn("path", F.to_json("ctx")), "hashes")
     led = leaders(hamming_pairs(nodes.select("branch", "path", "n", "bits"), most_distance(threshold), "branch", "path"), "branch", "path")
     of = nodes.join(led, ["branch", "path", "n"], "left").select(*KEYS, F.col("bits").alias("_bits"), F.coalesce("leader", "n").alias("_lead"))
     return _split_by_leader(df.join(of, [*KEYS, "_bits"], "left"), "phash").drop("_bits")

@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photosluice.functions.scalars import bits_of_hash, cosine, hamming, most_distance, parse_day, pick_limit, unit_score
+from photosluice.functions.scalars import bits_of_hash, cosine, most_distance, parse_day, pick_limit, unit_score
 from photosluice.core.storage import settle
 from photosluice.operators.frames import KEYS, columns_or_null, in_context, ranked, union_all
-from photosluice.operators.similarity import hamming_pairs, leaders
+from photosluice.operators.similarity import hamming_join, hamming_pairs, leaders
 from photosluice.sources.library import as_day
 
 
+ROUNDS_MOST = 8  # picks up to which all contexts are picked from in rounds
 ONE_TASK = 20_000  # records of a context that one task picks from, about 15 MB
 
 
@@ -130,11 +131,15 @@ def diverse_pick(
     rows = settle(ranked(df, KEYS, "pos", F.asc("ord"), F.asc("asset_id")).withColumn("path", F.to_json("ctx")), "scenes")
     counts = rows.groupBy("branch", "path").agg(F.count("*").alias("_n"))
     inputs = rows.select("branch", "path", "pos", "asset_id", unit_score("score").alias("score"), "embedding").join(counts, ["branch", "path"])
-    few, many = inputs.where(F.col("_n") <= ONE_TASK).drop("_n"), inputs.where(F.col("_n") > ONE_TASK)
+    alone = inputs.where("_n = 1").select("branch", "path", "pos", F.lit(0).cast("long").alias("turn"))
+    # few rounds over all contexts cost less than a call a context
+    one_task = ONE_TASK if max_picks > ROUNDS_MOST else 1
+    few, many = inputs.where((F.col("_n") > 1) & (F.col("_n") <= one_task)).drop("_n"), inputs.where((F.col("_n") > one_task) & (F.col("_n") > 1))
     picks = few.groupBy("branch", "path").applyInPandas(
         _mmr(max_picks, pick_percentage, quality_weight, diversity_weight), "branch string, path string, pos long, turn long"
     )
-    if counts.where(F.col("_n") > ONE_TASK).limit(1).count():
+    picks = picks.unionByName(alone) if one_task > 1 else alone
+    if counts.where((F.col("_n") > one_task) & (F.col("_n") > 1)).limit(1).count():
         picks = picks.unionByName(_mmr_rounds(many, max_picks, pick_percentage, quality_weight, diversity_weight))
     above = F.transform("ctx", lambda x: x["idx"])
     chosen = rows.join(picks, ["branch", "path", "pos"])
@@ -206,32 +211,21 @@ def hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     rows = rows.where("_bits is not null and _us is not null").select("branch", "path", "_at", "_bits", "_day", "_us")
     most = most_distance(threshold)
     # equal hashes of a day: all join the first
-    first = rows.groupBy("branch", "path", "_day", F.col("_bits").alias("bits")).agg(F.min("_at").alias("n"))
-    same_day = hamming_pairs(first, most, "branch", "path", "_day").select("branch", "path", "i", "j")
+    first = settle(rows.groupBy("branch", "path", "_day", F.col("_bits").alias("bits")).agg(F.min("_at").alias("n")), "hashes")
+    largest = first.groupBy("branch", "path", "_day").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    same_day = hamming_pairs(first, most, "branch", "path", "_day", rows=largest).select("branch", "path", "i", "j")
     copies = rows.join(first.withColumnRenamed("bits", "_bits"), ["branch", "path", "_day", "_bits"]).where("_at <> n")
     copies = copies.select("branch", "path", F.col("n").alias("i"), F.col("_at").alias("j"))
     hour = 3_600_000_000
     into = F.pmod(F.col("_us"), F.lit(24 * hour))
     late = rows.where(into >= 23 * hour).select("branch", "path", F.col("_day").alias("d"), F.col("_bits").alias("a"), F.col("_at").alias("i"), F.col("_us").alias("ua"))
     early = rows.where(into <= hour).select("branch", "path", (F.col("_day") - 1).alias("d"), F.col("_bits").alias("b"), F.col("_at").alias("j"), F.col("_us").alias("ub"))
-    bridge = _banded(late, early, most).where(F.col("ub") - F.col("ua") <= hour).select("branch", "path", "i", "j")
+    bridge = hamming_join(late, early, most, ["branch", "path", "d"], largest).where(F.col("ub") - F.col("ua") <= hour).select("branch", "path", "i", "j")
     pairs = same_day.unionByName(copies).unionByName(bridge)
     pairs = pairs.select("branch", "path", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     return leaders(pairs, "branch", "path")
 
 
-def _banded(a: DataFrame, b: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """Rows of ``a`` and ``b`` of the same ``d`` whose hashes differ in at most ``most`` bits."""
-    cuts = [round(k * bits / (most + 1)) for k in range(most + 2)]
-
-    def banded(df: DataFrame, c: str) -> DataFrame:
-        bands = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft(c, bits - hi), bits - (hi - lo)).alias("part")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-        return df.select("*", F.explode(F.array(*bands)).alias("_b")).select("*", "_b.k", "_b.part").drop("_b")
-
-    met = banded(a, "a").join(banded(b, "b"), ["branch", "path", "d", "k", "part"]).where(hamming("a", "b") <= most)
-    return met.drop("k", "part").distinct()
-
-
 def drop_hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Keep the best of every group of records with similar hashes shot on a day or across midnight.
 

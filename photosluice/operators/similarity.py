@@ -8,7 +8,10 @@ undecided earlier neighbours leads, its neighbours are covered.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +25,67 @@ BLOCK_ROWS = 2000
 _NEAR = 1e-5
 
 
-def hamming_pairs(nodes: DataFrame, most: int, *keys: str, bits: int = 64) -> DataFrame:
+def _bands(most: int, rows: int, bits: int) -> tuple[list[tuple[int, int]], int]:
+    """Cuts of a hash and how many of them form a key.
+
+    With ``most + r`` bands, two hashes at most ``most`` bits apart agree on ``r`` bands at least,
+    so every combination of ``r`` bands as a key finds each pair. More bands in a key mean more
+    keys but fewer chance meetings; the cheapest ``r`` for this number of rows is taken.
+    """
+
+    def cost(r: int) -> float:
+        return math.comb(most + r, r) * (1 + rows / 2.0 ** (bits * r / (most + r)))
+
+    r = min((r for r in (1, 2, 3) if most + r <= bits), key=cost, default=1)
+    n = min(most + r, bits)
+    cuts = [round(k * bits / n) for k in range(n + 1)]
+    return list(zip(cuts, cuts[1:])), r
+
+
+def _mask(lo: int, hi: int) -> int:
+    """Bits ``lo`` to ``hi`` as a signed long."""
+    m = (1 << hi) - (1 << lo)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def hamming_join(a: DataFrame, b: DataFrame, most: int, keys: Sequence[str], rows: int, bits: int = 64) -> DataFrame:
+    """Rows of ``a`` and ``b`` with equal ``keys`` whose hashes (columns ``a`` and ``b``) differ in at most ``most`` bits.
+
+    Exact, and each pair comes once: by the key of the first bands on which it agrees.
+    """
+    bands, r = _bands(most, rows, bits)
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        items = [
+            F.struct(F.lit(i).alias("k"), F.lit(combo[-1]).alias("last"), F.col(c).bitwiseAND(F.lit(_or(_mask(*bands[x]) for x in combo))).alias("part"))
+            for i, combo in enumerate(combinations(range(len(bands)), r))
+        ]
+        return df.select("*", F.explode(F.array(*items)).alias("_x")).select("*", "_x.*").drop("_x")
+
+    met = keyed(a, "a").join(keyed(b, "b").drop("last"), [*keys, "k", "part"]).where(hamming("a", "b") <= most)
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    earlier = sum(F.when((F.lit(k) < F.col("last")) & (apart.bitwiseAND(F.lit(_mask(*band))) == 0), 1).otherwise(0) for k, band in enumerate(bands))
+    return met.where(earlier == r - 1).drop("k", "part", "last")
+
+
+def _or(masks) -> int:
+    out = 0
+    for m in masks:
+        out |= m
+    return out
+
+
+def hamming_pairs(nodes: DataFrame, most: int, *keys: str, bits: int = 64, rows: int | None = None) -> DataFrame:
     """(``keys``, ``i``, ``j``) with ``i < j`` for nodes (``keys``, ``n``, ``bits``) at most ``most`` bits apart.
 
-    The bits are cut into ``most + 1`` bands; two hashes within the distance agree on one at
-    least, so pairs are found by equality of a band and then verified. Nodes should have distinct
-    hashes, else copies meet in pairs.
+    ``rows`` is about the size of the largest group, counted if it isn't given. Nodes should have
+    distinct hashes, else copies meet in pairs.
     """
-    cuts = [round(k * bits / (most + 1)) for k in range(most + 2)]
-    bands = [
-        F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft("bits", bits - hi), bits - (hi - lo)).alias("part"))
-        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
-        if hi > lo
-    ]
-    banded = nodes.select(*keys, "n", "bits", F.explode(F.array(*bands)).alias("band")).select(*keys, "n", "bits", "band.*")
-    a, b = (banded.select(*keys, "k", "part", F.col("n").alias(n), F.col("bits").alias(x)) for n, x in (("i", "a"), ("j", "b")))
-    pairs = a.join(b, [*keys, "k", "part"]).where((F.col("i") < F.col("j")) & (hamming("a", "b") <= most))
-    return pairs.select(*keys, "i", "j").distinct()
+    if rows is None:
+        by = nodes.groupBy(*keys).count() if keys else nodes.agg(F.count("*").alias("count"))
+        rows = by.agg(F.max("count").alias("m")).first()["m"] or 0
+    a, b = (nodes.select(*keys, F.col("n").alias(n), F.col("bits").alias(x)) for n, x in (("i", "a"), ("j", "b")))
+    return hamming_join(a, b, most, keys, rows, bits).where("i < j").select(*keys, "i", "j")
 
 
 def cosine_pairs(nodes: DataFrame, threshold: float, *keys: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -50,7 +97,8 @@ def cosine_pairs(nodes: DataFrame, threshold: float, *keys: str, block_rows: int
     the same size. Vectors of no length resemble nothing.
     """
     blocked = nodes.withColumn("_b", F.floor(F.col("n") / block_rows).cast("int"))
-    most = blocked.groupBy(*keys).agg(F.max("_b").alias("_most")) if keys else blocked.agg(F.max("_b").alias("_most"))
+    some = [F.max("_b").alias("_most"), F.count("*").alias("_rows")]
+    most = (blocked.groupBy(*keys).agg(*some) if keys else blocked.agg(*some)).where("_rows > 1").drop("_rows")
     sized = blocked.join(most, list(keys)) if keys else blocked.join(F.broadcast(most), F.lit(True))  # one row
     b, m = F.col("_b"), F.col("_most")
     meets = F.transform(F.sequence(F.lit(0), m), lambda o: F.struct(F.least(o, b).alias("lo"), F.greatest(o, b).alias("hi")))

@@ -230,7 +230,7 @@ def test_avoid_repeat(assets, spark):
 MMR = [("sim1", 0.8, [1.0, 0.0, 0.0]), ("sim2", 0.79, [0.99, 0.01, 0.0]), ("diff", 0.7, [0.0, 0.0, 1.0])]
 
 
-@pytest.mark.parametrize("one_task", [20_000, 0])
+@pytest.mark.parametrize("rounds", [8, 0])
 @pytest.mark.parametrize(
     "rows, params, want",
     [
@@ -241,8 +241,8 @@ MMR = [("sim1", 0.8, [1.0, 0.0, 0.0]), ("sim2", 0.79, [0.99, 0.01, 0.0]), ("diff
         ([("a", 0.1, [float("nan"), 0.0]), ("b", None, [0.0, 0.0]), ("c", 0.2, [])], {"max_picks": 3, "pick_percentage": 1.0}, ["c", "b", "a"]),
     ],
 )
-def test_diverse_pick(assets, monkeypatch, one_task, rows, params, want):
-    monkeypatch.setattr(select, "ONE_TASK", one_task)
+def test_diverse_pick(assets, monkeypatch, rounds, rows, params, want):
+    monkeypatch.setattr(select, "ROUNDS_MOST", rounds)
     df = asset_frame(assets(*[{"asset_id": i, "score": s, "embedding": v} for i, s, v in rows]))
     got = select.diverse_pick(df, **params).orderBy("ord").collect()
     assert [r["asset_id"] for r in got] == want and [r["group_best"] for r in got] == [True] + [False] * (len(want) - 1)
