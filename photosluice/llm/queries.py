@@ -105,5 +105,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# usable embeddings, one row an asset, in double
+_VECTORS = """
+v AS (SELECT asset_id, max(embedding) AS e FROM assets WHERE asset_id IS NOT NULL AND len(embedding) = 64 GROUP BY 1),
+u AS (SELECT asset_id, e::DOUBLE[64] AS e FROM v
+  WHERE len(list_filter(e, lambda x: isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0)
+"""
+_SCORES = """
+s AS (SELECT asset_id, max(CASE WHEN score IS NULL OR isnan(score) THEN 0 ELSE least(1, greatest(0, score)) END) AS score
+  FROM assets WHERE asset_id IS NOT NULL GROUP BY 1)
+"""
+
+# In these tables likeness is transitive, so that a group is what its members resemble.
+_SQL = {
+    "p1_found": f"""WITH {_VECTORS},
+p AS (SELECT a.asset_id, min(b.asset_id) AS cluster_key, count(*) AS n FROM u a JOIN u b ON array_cosine_similarity(a.e, b.e) >= 0.86 GROUP BY 1)
+SELECT cluster_key, asset_id FROM p WHERE n >= 3""",
+    "p2_found": f"""WITH {_VECTORS},
+p AS (SELECT a.asset_id AS x, b.asset_id AS y, array_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.asset_id <> b.asset_id
+  WHERE array_cosine_similarity(a.e, b.e) >= 0.86),
+r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY round(c, 6) DESC, y) AS r FROM p)
+SELECT DISTINCT least(x, y) AS asset_a, greatest(x, y) AS asset_b FROM r WHERE r <= 5""",
+    "p3_found": f"""WITH {_VECTORS}, {_SCORES},
+m AS (SELECT DISTINCT request_id, pick_size, c.asset_id, e, score FROM pick_requests JOIN context_assets c USING (partition_id)
+  JOIN u ON u.asset_id = c.asset_id JOIN s ON s.asset_id = c.asset_id),
+k AS (SELECT a.request_id, a.asset_id, min(b.asset_id) AS kind FROM m a JOIN m b ON a.request_id = b.request_id
+  WHERE a.asset_id = b.asset_id OR array_cosine_similarity(a.e, b.e) >= 0.86 GROUP BY 1, 2),
+p AS (SELECT request_id, asset_id, pick_size, score, row_number() OVER (PARTITION BY request_id, kind ORDER BY score DESC, asset_id) AS place
+  FROM m JOIN k USING (request_id, asset_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY place, score DESC, asset_id) AS r FROM p)
+SELECT request_id, asset_id FROM o WHERE r <= pick_size""",
+    "p4_found": f"""WITH {_SCORES},
+m AS (SELECT DISTINCT partition_id, asset_id FROM context_assets WHERE partition_id IS NOT NULL AND asset_id IS NOT NULL),
+r AS (SELECT partition_id, m.asset_id, row_number() OVER (PARTITION BY partition_id ORDER BY coalesce(score, 0) DESC, m.asset_id) AS r
+  FROM m LEFT JOIN s USING (asset_id))
+SELECT partition_id, asset_id FROM r WHERE r <= 3""",
+    "p9_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 160 GROUP BY ALL),
+w AS (SELECT doc_id, p, substr(text, p + 1, 160) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text) - 159)) AS p FROM d)),
+h AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+f AS (SELECT doc_id, p FROM w WHERE t IN (SELECT t FROM h)),
+g AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 160 THEN 0 ELSE 1 END AS new FROM f),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g)
+SELECT doc_id, min(p) AS span_start, max(p) - min(p) + 160 AS span_chars FROM n GROUP BY doc_id, run""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
