@@ -323,9 +323,22 @@ def run_steps(df, env, pipeline: tuple[Step, ...]):
             df = fork(df, run) if s.stage == "fork" else fork_by_selection(df, run)
         else:
             df = get_stage(s.stage).run(df, env, **s.config)
+        watch = getattr(env, "observations", None)
+        if watch is not None:
+            df = _observed(df, s, watch)
     return df
 
 
+def _observed(df, s: Step, watch: list):
+    """``df`` that counts its records by the way when it is computed; nothing runs for it."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    watch.append((s.alias, s.stage, seen))
+    return df.observe(seen, F.count("*").alias("records"))
+
+
 def describe(pipeline: tuple[Step, ...]) -> list[dict]:
     """Steps, settings and their declared types, ready for JSON."""
     out = []

@@ -45,6 +45,11 @@ class Environment:
     export_directory: str | None = None
     outcomes: list[dict] = field(default_factory=list)
     writes: list[tuple[str, str, DataFrame]] = field(default_factory=list)
+    observations: list | None = None  # a list to count the records after every step
+
+    def record_counts(self) -> list[tuple[str, str, int]]:
+        """(alias, stage, records after it) of a run with ``observations``, once its result was computed."""
+        return [(alias, name, seen.get["records"]) for alias, name, seen in self.observations or ()]
 
 
 _RUN_DATE = P("run_date", date, required=True, description="day of the run")

@@ -246,3 +246,72 @@ def test_streams(spark, tmp_path):
     q = burst_sessions(stream.withColumn("camera", F.lit(1) + F.length("asset_id")), "camera").writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "s")).start()
     q.awaitTermination()
     assert [r["records"] for r in spark.table("bursts").collect()] == [2]
+
+
+# configuration, progress, connector
+
+
+def test_configurations(tmp_path):
+    from photosluice.plans.config import load_config, pipeline_of
+
+    f = tmp_path / "c.json"
+    f.write_text('{"pipeline": "best-of-year", "pipeline_settings": {"by_year": {"year": "{YEAR}"}}, "variables": {"YEAR": 2021}}')
+    p = pipeline_of(load_config(str(f)))
+    assert p[0].config == {"year": 2021}
+    assert dict(p[-1].branches)["curation"][-1].config["name"] == "Best of 2021"
+    with pytest.raises(ValueError):
+        pipeline_of({"pipeline": "best-of-year", "pipeline_settings": {"by_year": {"year": 2020}}})
+    with pytest.raises(ValueError):
+        pipeline_of({})
+    f.write_text("")
+    assert load_config(str(f)) == {} and load_config(None, str(tmp_path / "none.json")) == {}
+    f.write_text("[1]")
+    with pytest.raises(ValueError):
+        load_config(str(f))
+    with pytest.raises(FileNotFoundError):
+        load_config(str(tmp_path / "gone.json"))
+
+
+def test_progress_is_throttled():
+    import io
+
+    from photosluice.plans.config import JsonProgress, NoProgress, read_progress
+
+    out, now = io.StringIO(), [0.0]
+    p = JsonProgress(out, lambda: now[0])
+    p.begin("select.best", 1000)
+    for i in range(1, 101):
+        p.advance(i)
+    now[0] = 1.5
+    p.advance(101)
+    p.end(selected=3)
+    said = [read_progress(x) for x in out.getvalue().splitlines()]
+    assert [x["completed"] for x in said if x["type"] == "advance"] == [1, 21, 41, 61, 81, 101] and said[-1]["selected"] == 3
+    assert read_progress("plain") is None and read_progress("@@PROGRESS@@{") is None
+    NoProgress().advance(1)
+
+
+def test_counts_come_with_the_result(assets):
+    env = Environment(assets=assets(*[{"asset_id": str(i), "score": i / 10} for i in range(10)]), observations=[])
+    assert run_pipeline([["source", {}], ["filter.min_score", {"threshold": 0.5}], ["filter.none", {"photo_count": 3}]], env).count() == 3
+    assert env.record_counts() == [("source", "source", 10), ("min_score", "filter.min_score", 5), ("none", "filter.none", 3)]
+
+
+def test_connector_reads_pages_in_parallel(spark):
+    from photosluice.sources.connector import read_library
+
+    def client():
+        from datetime import UTC, datetime, timedelta
+
+        class Library:
+            def search(self, start, stop, page, size):
+                first = datetime(2024, 1, 1, tzinfo=UTC)
+                every = [first + timedelta(hours=i) for i in range(100)]
+                found = [{"asset_id": t.isoformat(), "captured_at": t} for t in every if start <= t < stop]
+                return found[page * size : (page + 1) * size]
+
+        return Library()
+
+    df = read_library(spark, client, datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 4, tzinfo=UTC), ranges=5, page_size=7)
+    assert df.count() == df.select("asset_id").distinct().count() == 72 and df.rdd.getNumPartitions() == 5
+    assert ids(run_pipeline([["source", {"type": "date_range", "from": "2024-01-02", "to": "2024-01-02"}]], Environment(assets=df)))[0].startswith("2024-01-02T00")
