@@ -42,11 +42,9 @@ def album_changes(desired: DataFrame, current: DataFrame, allow_empty: bool = Fa
     both = want.join(have, "asset_id", "full_outer")
     action = F.when(F.col("_have").isNull(), "add").when(F.col("_want").isNotNull(), "keep").otherwise("remove")
     out = both.select("asset_id", action.alias("action"))
-    if allow_empty:
+    if allow_empty or published(desired).limit(1).count():
         return out
-    some = published(desired).limit(1).agg(F.count("*").alias("_n"))
-    held = out.crossJoin(F.broadcast(some))  # one row
-    return held.select("asset_id", F.when((F.col("_n") == 0) & (F.col("action") == "remove"), "keep").otherwise(F.col("action")).alias("action"))
+    return out.withColumn("action", F.lit("keep"))
 
 
 def replace_album(df: DataFrame, current: DataFrame, name: str, dry_run: bool = False, allow_empty: bool = False) -> tuple[dict, DataFrame]:

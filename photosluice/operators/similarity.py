@@ -96,10 +96,12 @@ def cosine_pairs(nodes: DataFrame, threshold: float, *keys: str, block_rows: int
     only similar pairs leave it. All embeddings of a group must have
     the same size. Vectors of no length resemble nothing.
     """
+    if not keys:
+        one = nodes.select("n", "embedding").withColumn("_all", F.lit(0))
+        return cosine_pairs(one, threshold, "_all", block_rows=block_rows).drop("_all")
     blocked = nodes.withColumn("_b", F.floor(F.col("n") / block_rows).cast("int"))
-    some = [F.max("_b").alias("_most"), F.count("*").alias("_rows")]
-    most = (blocked.groupBy(*keys).agg(*some) if keys else blocked.agg(*some)).where("_rows > 1").drop("_rows")
-    sized = blocked.join(most, list(keys)) if keys else blocked.join(F.broadcast(most), F.lit(True))  # one row
+    most = blocked.groupBy(*keys).agg(F.max("_b").alias("_most"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+    sized = blocked.join(most, list(keys))
     b, m = F.col("_b"), F.col("_most")
     meets = F.transform(F.sequence(F.lit(0), m), lambda o: F.struct(F.least(o, b).alias("lo"), F.greatest(o, b).alias("hi")))
     dealt = sized.select(*keys, "n", "embedding", "_b", F.explode(meets).alias("_p")).select(*keys, "n", "embedding", "_b", "_p.*")
