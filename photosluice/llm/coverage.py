@@ -70,7 +70,7 @@ def _kinds_in_task(least: float, dim: int):
 
 def _kinds_of_large(large: DataFrame, least: float, k: int, rows_per_partition: int, mean_probes: float, small: int, dim: int) -> DataFrame:
     """Kinds in pools too large for one task: learned partitions, then components of their edges."""
-    model = fit_partitions(large, "id", "vec", rows_per_partition, mean_probes, dim=dim)
+    model = fit_partitions(large, "id", "vec", rows_per_partition, mean_probes, dim=dim, least=least)
     search = edge_search(k, least, dim)
 
     def route(batches):
@@ -81,7 +81,7 @@ def _kinds_of_large(large: DataFrame, least: float, k: int, rows_per_partition:
             node = b.column(2).to_numpy(zero_copy_only=False)[at]
             _, first = np.unique(node, return_index=True)
             at, rows, node = at[first], rows[first], node[first]
-            row, part, home = model.route(unit(rows).astype(np.float32))
+            row, part, home = model.route(unit(rows).astype(np.float32), node)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at[row])), pa.array(part.astype(np.int32)), pa.array(home), pa.array(node[row]), pack(rows[row])],
                 names=["pool", "part", "home", "h", "v"],

@@ -6,6 +6,12 @@ lie. Every vector is then stored in its most probable partition and sought in th
 probable ones. Beyond ``FANOUT`` partitions a second layer of classifiers, fitted inside each
 partition of the first in parallel, keeps routing cheap.
 
+The sample holds distinct vectors, so copies have no say in the fit. A group of near copies that
+would fill more than half a partition is found in the sample and left out of the fit too: it gets
+blocks of its own, every two of which are compared, and by the triangle inequality every vector
+that may resemble a member is sought in all of its blocks. Pairs with an end in such a group are
+thus complete, whatever the number of probes.
+
 Documented bounds: the first layer is fitted on at most ``SAMPLE_MOST`` vectors, each classifier
 of the second layer on at most ``SAMPLE_MOST``; the model has at most FANOUT * FANOUT partitions
 (64 numbers each, 16 MB in all), which bounds the broadcast.
@@ -22,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photosluice.llm.vectors import DIM, pack, unit, unpack, usable_rows
+from photosluice.llm.vectors import DIM, pack, unit, unpack, usable_rows, vector_key
 
 FANOUT = 256
 SAMPLE_PER_PARTITION = 200
 SAMPLE_MOST = 24_000
+DENSE_LEAST = 32  # members in the sample from which a group may count as dense
+DENSE_BLOCK = 2  # rows of a dense group's block, in rows of a partition
 
 
 @dataclass
@@ -51,6 +59,9 @@ class PartitionModel:
     offsets: np.ndarray | None = None
     margin: float = 0.0
     max_probes: int = 8
+    dense: np.ndarray | None = None  # a unit vector in the middle of each dense group
+    blocks: np.ndarray | None = None  # number of blocks of each
+    least: float = 0.86
 
     @property
     def partitions(self) -> int:
@@ -81,7 +92,38 @@ class PartitionModel:
             rows.append(r[i]), parts.append(self.offsets[c] + j), scores.append(sub[i, j])
         return np.concatenate(rows), np.concatenate(parts), np.concatenate(scores)
 
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, partition, is the row stored there); ``key`` deals the rows of dense groups to blocks.
+
+        A member of a dense group is stored in its block and meets every other block of its group
+        in a partition for the two. Whatever may resemble a member queries all blocks. Other rows
+        have one partition of their own and at most ``max_probes`` in all.
+        """
+        if self.dense is None:
+            return self._probe(x)
+        sims = x @ self.dense.T
+        best = sims.argmax(axis=1)
+        member = sims[np.arange(len(x)), best] >= self.least
+        plain = np.flatnonzero(~member)
+        row, part, home = self._probe(x[plain])
+        rows, parts, homes = [plain[row]], [part], [home]
+        reach = math.cos(min(math.pi, 2 * math.acos(self.least))) - 1e-4
+        row, group = np.nonzero(sims >= reach)
+        begin = self.partitions + np.r_[0, np.cumsum(self.blocks * (self.blocks + 1) // 2)]
+        for g in np.unique(group):
+            n = int(self.blocks[g])
+            r = row[group == g]
+            own = member[r] & (best[r] == g)
+            block = np.mod(key[r], n)[:, None]
+            other = np.arange(n)[None, :]
+            lo = np.where(own[:, None], np.minimum(block, other), other)
+            hi = np.where(own[:, None], np.maximum(block, other), other)
+            rows.append(np.repeat(r, n))
+            parts.append((begin[g] + lo * n - lo * (lo - 1) // 2 + hi - lo).ravel())
+            homes.append((own[:, None] & (lo == block)).ravel())
+        return np.concatenate(rows), np.concatenate(parts), np.concatenate(homes)
+
+    def _probe(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, partition, is it the row's own partition), at most ``max_probes`` a row."""
         row, part, score = self.candidates(x, self.margin)
         order = np.lexsort((part, -score, row))
@@ -180,19 +222,40 @@ def fit_layer(x: np.ndarray, parts: int, seed: int = 7, epochs: int = 12) -> Lay
     return Layer(w * np.float32(math.sqrt(x.shape[1])), b)
 
 
-def sample_units(df: DataFrame, id_col: str, vec_col: str, total: int, most: int, dim: int) -> np.ndarray:
-    """At most ``most`` usable vectors as unit rows, chosen by a hash of the id."""
+def sample_units(df: DataFrame, vec_col: str, total: int, most: int, dim: int) -> tuple[np.ndarray, float]:
+    """At most ``most`` distinct usable vectors as unit rows, chosen by a hash, and about how many there are in all."""
 
     def packed(batches):
         for b in batches:
-            _, rows = usable_rows(b.column(0), dim)
+            at, rows = usable_rows(b.column(0), dim)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pack(unit(rows))], names=["v"])
+                h, first = np.unique(b.column(1).to_numpy(zero_copy_only=False)[at], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pack(unit(rows[first]))], names=["h", "v"])
 
     share = min(1.0, 1.1 * most / max(total, 1))
-    chosen = df.where(F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = chosen.select(vec_col).mapInArrow(packed, "v binary").limit(most).toArrow()
-    return unpack(got.column("v"), dim)
+    keyed = df.select(vec_col, vector_key(vec_col).alias("h"))
+    while True:
+        chosen = keyed.where(F.pmod(F.xxhash64(F.lit(11), "h"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+        got = chosen.mapInArrow(packed, "h long, v binary").dropDuplicates(["h"]).limit(2 * most).toArrow()
+        if share == 1 or 2 * len(got) >= most:
+            break
+        share = min(1.0, share * min(16.0, 1.1 * most / max(len(got), 1)))  # many copies: a larger share
+    order = np.argsort(got.column("h").to_numpy())[:most]
+    return unpack(got.column("v"), dim)[order], len(got) / share
+
+
+def dense_groups(x: np.ndarray, least: float, members: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(row in the middle, rows covered) of the groups of at least ``members`` rows that resemble one row."""
+    n, free, leads, sizes = len(x), np.ones(len(x), bool), [], []
+    count = np.concatenate([np.count_nonzero(x[s : s + block] @ x.T >= least, axis=1) for s in range(0, n, block)])
+    while n and count[lead := int(np.where(free, count, 0).argmax())] >= members and free[lead]:
+        took = np.flatnonzero(free & (x @ x[lead] >= least))
+        took = took if len(took) else np.array([lead])
+        leads.append(lead), sizes.append(len(took))
+        free[took] = False
+        for s in range(0, n, block):
+            count[s : s + block] -= np.count_nonzero(x[s : s + block] @ x[took].T >= least, axis=1)
+    return np.asarray(leads, np.int64), np.asarray(sizes, np.int64)
 
 
 def fit_partitions(
@@ -205,8 +268,12 @@ def fit_partitions(
     fanout: int = FANOUT,
     sample_most: int = SAMPLE_MOST,
     dim: int = DIM,
+    least: float = 0.86,
 ) -> PartitionModel:
-    """Fit the routing model for ``df``; the margin is set so that a row has ``mean_probes`` on average."""
+    """Fit the routing model for ``df``; the margin is set so that a row has ``mean_probes`` on average.
+
+    Rows of dense groups, found for pairs with a cosine of ``least`` or more, don't count for it.
+    """
     total = df.count()
     want = math.ceil(total / rows_per_partition)
     if want <= 1:
@@ -214,21 +281,28 @@ def fit_partitions(
     two = want > fanout
     first = math.ceil(math.sqrt(want)) if two else want
     most = min(sample_most, first * SAMPLE_PER_PARTITION)
-    x = sample_units(df, id_col, vec_col, total, most, dim)
+    x, distinct = sample_units(df, vec_col, total, most, dim)
+    model = PartitionModel(max_probes=max_probes, least=least)
+    scale = distinct / max(len(x), 1)
+    leads, sizes = dense_groups(x, least, max(DENSE_LEAST, rows_per_partition / 2 / max(scale, 1)))
+    if len(leads):
+        model.dense = x[leads]
+        model.blocks = np.ceil(sizes * scale / (DENSE_BLOCK * rows_per_partition)).astype(np.int64)
+        x = x[(x @ model.dense.T).max(axis=1) < least]
     first = min(first, len(x) // 12)
     if first <= 1:
-        return PartitionModel(max_probes=max_probes)
-    model = PartitionModel(fit_layer(x, first), max_probes=max_probes)
+        return model
+    model.top = fit_layer(x, first)
     if two:
         second = min(fanout, math.ceil(want / first))
-        _fit_below(df, id_col, vec_col, model, total, second, sample_most, dim)
+        _fit_below(df, vec_col, model, total, second, sample_most, dim)
     model.margin = _margin(model, x[:4000], mean_probes)
     return model
 
 
-def _fit_below(df, id_col, vec_col, model, total, parts, sample_most, dim) -> None:
+def _fit_below(df, vec_col, model, total, parts, sample_most, dim) -> None:
     """One classifier inside each partition of the first layer, fitted in parallel."""
-    top, first = model.top, len(model.top.bias)
+    top, first, dense, least = model.top, len(model.top.bias), model.dense, model.least
     want = min(sample_most, parts * SAMPLE_PER_PARTITION)
     share = min(1.0, first * want / max(total, 1))
 
@@ -237,18 +311,20 @@ def _fit_below(df, id_col, vec_col, model, total, parts, sample_most, dim) -> No
             _, rows = usable_rows(b.column(0), dim)
             if len(rows):
                 x = unit(rows).astype(np.float32)
+                if dense is not None:
+                    x = x[(x @ dense.T).max(axis=1) < least]
                 part = np.argmax(top.log_probabilities(x), axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pack(x)], names=["c", "v"])
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["v"][: 2 * want]), np.float32).reshape(-1, dim)
+        x = np.frombuffer(b"".join(group["v"].drop_duplicates()[: 2 * want]), np.float32).reshape(-1, dim)
         own = min(parts, len(x) // 12)
         if own <= 1:
             return pd.DataFrame({"c": [], "w": [], "b": []})
         layer = fit_layer(x, own)
         return pd.DataFrame({"c": [group["c"].iloc[0]], "w": [layer.weights.tobytes()], "b": [layer.bias.tobytes()]})
 
-    chosen = df.where(F.pmod(F.xxhash64(F.lit(13), id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = df.where(F.pmod(F.xxhash64(F.lit(13), vector_key(vec_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
     got = (
         chosen.select(vec_col)
         .mapInArrow(routed, "c int, v binary")

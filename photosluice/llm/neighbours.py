@@ -12,6 +12,7 @@ from photosluice.llm.vectors import DIM, pack, unit, unpack, usable_rows, vector
 
 ROWS_PER_PARTITION = 6000
 MEAN_PROBES = 2.0
+ROUTE_ROWS = 50_000  # rows of a routed batch, 13 MB of vectors
 _SEP = "\x1f"
 _TIE = 2e-6  # float32 products may differ by so much from those in double
 
@@ -43,13 +44,15 @@ def routed(df: DataFrame, id_col: str, vec_col: str, model: PartitionModel, keep
                     for u, s, e in zip(twice, begin, end):
                         names[u] = _SEP.join(sorted({x for x in ids[order[s:e]] if x is not None})[:keep_ids])
             rows = rows[first]
-            row, part, home = model.route(unit(rows).astype(np.float32))
-            cols = [pa.array(part.astype(np.int32)), pa.array(home), pa.array(uniq[row]), pack(rows[row])]
-            fields = ["part", "home", "h", "v"]
-            if keep_ids:
-                cols.append(pa.array(names[row], pa.string()))
-                fields.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=fields)
+            routes = model.route(unit(rows).astype(np.float32), uniq)
+            for s in range(0, len(routes[0]), ROUTE_ROWS):
+                row, part, home = (r[s : s + ROUTE_ROWS] for r in routes)
+                cols = [pa.array(part.astype(np.int32)), pa.array(home), pa.array(uniq[row]), pack(rows[row])]
+                fields = ["part", "home", "h", "v"]
+                if keep_ids:
+                    cols.append(pa.array(names[row], pa.string()))
+                    fields.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=fields)
 
     schema = "part int, home boolean, h long, v binary" + (", ids string" if keep_ids else "")
     return df.select(id_col, vec_col, vector_key(vec_col).alias("h")).mapInArrow(route, schema)
@@ -92,6 +95,7 @@ def partition_hits(x: np.ndarray, stored: int, least: float, k: int, anchor: boo
     hits is always kept, which ties the members of a dense group together.
     """
     n, qs, cs = len(x), [], []
+    block = max(16, min(block, (1 << 24) // max(n, 1)))
     xt = np.ascontiguousarray(x.T)
     for s in range(0, stored, block):
         e = min(stored, s + block)
@@ -151,7 +155,7 @@ def similar_vectors(
     """
     source = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull())
     if model is None:
-        model = fit_partitions(source, "id", "vec", rows_per_partition, mean_probes, dim=dim)
+        model = fit_partitions(source, "id", "vec", rows_per_partition, mean_probes, dim=dim, least=least)
 
     def search(table: pa.Table) -> pa.Table:
         key, rows, stored, ids = partition_arrays(table, dim)

@@ -274,3 +274,47 @@ def test_rounds_agree_with_the_closed_form(spark):
     features = items.select("pool", "id", items["kind"].cast("string").alias("feature")).selectExpr("*", "1D as mass")
     a = {r["id"] for r in varied_subset(items, requests).collect()}
     assert a == {r["id"] for r in cover_by_rounds(items, features, requests, epsilon=0.01).collect()}
+
+
+def brute_hits(x, least=0.86):
+    """Similar pairs of distinct unit rows."""
+    return {(int(i), int(j)) for s in range(0, len(x), 512) for i, j in np.argwhere(x[s : s + 512] @ x.T >= least) + [s, 0] if i < j}
+
+
+def met_pairs(model, x):
+    """Pairs of rows of which one is stored where the other is stored or sought."""
+    row, part, home = model.route(x, np.arange(len(x)))
+    out = set()
+    for p in np.unique(part):
+        r, h = row[part == p], home[part == p]
+        sims = x[r[h]] @ x[r].T >= 0.86
+        out |= {(int(min(a, b)), int(max(a, b))) for a, b in zip(r[h][np.nonzero(sims)[0]], r[np.nonzero(sims)[1]]) if a != b}
+    return out
+
+
+def test_copies_do_not_take_the_probes_of_others(spark, vectors):
+    x = clustered(11, [4] * 400, alone=400, noise=0.4)
+    rows = [list(map(float, r)) for r in x] + [list(map(float, x[0]))] * 1000
+    random.Random(1).shuffle(rows)
+    df = vectors([f"{k:05}" for k in range(len(rows))], rows)
+    model = fit_partitions(df, "asset_id", "embedding", 150, 2.3)
+    u = unit(x).astype(np.float32)
+    assert 1.8 * len(u) < len(model.route(u, np.arange(len(u)))[0]) < 3.2 * len(u)
+    want = brute_hits(u)
+    assert len(met_pairs(model, u) & want) >= 0.98 * len(want)
+
+
+def test_near_copies_in_many_partitions_all_meet(spark, vectors):
+    x = clustered(12, [1000, *[4] * 300], alone=400, noise=0.35)
+    df = vectors([f"{k:05}" for k in range(len(x))], x.tolist())
+    model = fit_partitions(df, "asset_id", "embedding", 100, 2.3)
+    u = unit(x).astype(np.float32)
+    want, met = brute_hits(u), met_pairs(model, u)
+    hot = {p for p in want if p[0] < 1000}
+    assert len(hot) > 100_000 and hot <= met
+    assert len((want - hot) & met) >= 0.98 * len(want - hot)
+    got = {(r["asset_a"], r["asset_b"]) for r in neighbour_pairs(df, model=model).collect()}
+    exact = brute_pairs([f"{k:05}" for k in range(len(x))], x.tolist())
+    assert {p for p in exact if p[0] < "01000"} <= got
+    # vectors alone form no dense group
+    assert fit_partitions(vectors([f"{k}" for k in range(600)], clustered(1, [], alone=600).tolist()), "asset_id", "embedding", 100, 2.3).dense is None
