@@ -11,7 +11,7 @@ from photosluice.llm.learned_partitions import PartitionModel, fit_partitions
 from photosluice.llm.vectors import DIM, pack, unit, unpack, usable_rows, vector_key
 
 ROWS_PER_PARTITION = 6000
-MEAN_PROBES = 2.0
+MEAN_PROBES = 2.6
 ROUTE_ROWS = 50_000  # rows of a routed batch, 13 MB of vectors
 _SEP = "\x1f"
 _TIE = 2e-6  # float32 products may differ by so much from those in double

@@ -318,3 +318,15 @@ def test_near_copies_in_many_partitions_all_meet(spark, vectors):
     assert {p for p in exact if p[0] < "01000"} <= got
     # vectors alone form no dense group
     assert fit_partitions(vectors([f"{k}" for k in range(600)], clustered(1, [], alone=600).tolist()), "asset_id", "embedding", 100, 2.3).dense is None
+
+
+def test_mean_probes_find_loose_pairs(spark, vectors):
+    from photosluice.llm import neighbours
+
+    x = clustered(21, [4] * 2500, alone=2000, noise=0.3)
+    df = vectors([f"{k:05}" for k in range(len(x))], x.tolist())
+    u = unit(x).astype(np.float32)
+    want = brute_hits(u)
+    for probes, recall in ((dc.MEAN_PROBES, 0.995), (neighbours.MEAN_PROBES, 0.998)):
+        model = fit_partitions(df, "asset_id", "embedding", 600, probes)
+        assert len(met_pairs(model, u) & want) >= recall * len(want)
