@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photosluice.core.storage import settle
-from photosluice.llm.density_clusters import KRUSKAL_MOST, edge_search, spanning_forest
-from photosluice.llm.learned_partitions import fit_partitions
+from photosluice.llm.density_clusters import KRUSKAL_MOST, spanning_forest
 from photosluice.llm.neighbours import _TIE
 from photosluice.llm.vectors import DIM, looks_usable, pack, unit, usable_rows, vector_key
 
@@ -68,29 +67,59 @@ def _kinds_in_task(least: float, dim: int):
     return find
 
 
-def _kinds_of_large(large: DataFrame, least: float, k: int, rows_per_partition: int, mean_probes: float, small: int, dim: int) -> DataFrame:
-    """Kinds in pools too large for one task: learned partitions, then components of their edges."""
-    model = fit_partitions(large, "id", "vec", rows_per_partition, mean_probes, dim=dim, least=least)
-    search = edge_search(k, least, dim)
-
-    def route(batches):
-        for b in batches:
-            at, rows = usable_rows(b.column(1), dim)
-            if not len(at):
-                continue
-            node = b.column(2).to_numpy(zero_copy_only=False)[at]
-            _, first = np.unique(node, return_index=True)
-            at, rows, node = at[first], rows[first], node[first]
-            row, part, home = model.route(unit(rows).astype(np.float32), node)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at[row])), pa.array(part.astype(np.int32)), pa.array(home), pa.array(node[row]), pack(rows[row])],
-                names=["pool", "part", "home", "h", "v"],
-            )
+def joining_edges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of hits that join whatever all hits of ``mask`` join: all of them if few, else a forest."""
+    if np.count_nonzero(mask) <= 2 * sum(mask.shape):
+        return np.nonzero(mask)
+    rows, cols = [], []
+    new_row, new_col = mask.any(axis=1), np.ones(mask.shape[1], bool)
+    for start in range(len(mask)):
+        if not new_row[start]:
+            continue
+        new_row[start] = False
+        reached = np.array([start])
+        while len(reached):
+            # every row and every column is looked at once
+            sub = mask[reached] & new_col
+            c = np.flatnonzero(sub.any(axis=0))
+            rows.append(reached[sub[:, c].argmax(axis=0)]), cols.append(c)
+            new_col[c] = False
+            open_rows = np.flatnonzero(new_row)
+            sub = mask[np.ix_(open_rows, c)]
+            hit = sub.any(axis=1)
+            reached = open_rows[hit]
+            rows.append(reached), cols.append(c[sub[hit].argmax(axis=1)] if len(c) else c)
+            new_row[reached] = False
+    return np.concatenate(rows), np.concatenate(cols)
 
+
+def _kinds_of_large(large: DataFrame, least: float, block_rows: int, small: int, dim: int) -> DataFrame:
+    """Kinds in pools too large for one task, exactly: distinct vectors in blocks, every two of which are compared."""
     keyed = large.withColumn("node", F.xxhash64("pool", vector_key("vec")))
-    flow = keyed.select("pool", "vec", "node").mapInArrow(route, "pool string, part int, home boolean, h long, v binary")
-    edges = flow.groupBy("pool", "part").applyInArrow(search, "q long, c long, d double")
-    flat = edges.select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b"), "d").groupBy("a", "b").agg(F.min("d").alias("w"))
+    distinct = settle(keyed.select("pool", "node", "vec").dropDuplicates(["pool", "node"]), "vectors")
+    blocks = distinct.groupBy("pool").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    own = distinct.join(blocks, "pool").withColumn("b", F.pmod("node", "blocks").cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    meets = F.transform(other, lambda o: F.struct(F.least(o, F.col("b")).alias("lo"), F.greatest(o, F.col("b")).alias("hi")))
+    dealt = own.select("pool", "node", "vec", "b", F.explode(meets).alias("m")).select("pool", "node", "vec", "b", "m.*")
+
+    def compare(table: pa.Table) -> pa.Table:
+        at, rows = usable_rows(table.column("vec").combine_chunks(), dim)
+        node, block = (table.column(c).to_numpy()[at] for c in ("node", "b"))
+        lo, hi = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("lo", "hi"))
+        u = unit(rows) if len(rows) else rows
+        x = u.astype(np.float32)
+        mask = np.zeros((len(lo), len(hi)), bool)
+        for s in range(0, len(lo), 512):
+            sims = x[lo[s : s + 512]] @ x[hi].T
+            mask[s : s + 512] = sims >= least
+            i, j = np.nonzero(np.abs(sims - least) < _TIE)
+            mask[s + i, j] = np.einsum("ij,ij->i", u[lo[s + i]], u[hi[j]]) >= least
+        i, j = joining_edges(mask)
+        return pa.table({"a": node[lo[i]], "b": node[hi[j]]})
+
+    edges = dealt.groupBy("pool", "lo", "hi").applyInArrow(compare, "a long, b long")
+    flat = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.0).alias("w")).where("a <> b").distinct()
     _, nodes = spanning_forest(flat, small)
     return (
         keyed.select("pool", "id", "score", "node")
@@ -103,20 +132,22 @@ def kinds(
     pools: DataFrame,
     least: float = 0.86,
     pool_most: int = POOL_MOST,
-    k: int = 6,
     rows_per_partition: int = 6000,
-    mean_probes: float = 2.3,
     small: int = KRUSKAL_MOST,
     dim: int = DIM,
 ) -> DataFrame:
-    """(``pool``, ``id``, ``score``, ``kind``) for rows (``pool``, ``id``, ``score``, ``vec``), one a pool and id."""
+    """(``pool``, ``id``, ``score``, ``kind``) for rows (``pool``, ``id``, ``score``, ``vec``), one a pool and id.
+
+    Exact at every size; distinct vectors of a pool above ``pool_most`` are compared in pairs of
+    blocks of about ``rows_per_partition``, so the work is quadratic in the pool.
+    """
     rows = settle(pools.where(looks_usable("vec", dim)), "pool-rows")
     sizes = rows.groupBy("pool").count()
     large = sizes.where(F.col("count") > pool_most).select("pool")
     if not large.limit(1).count():
         return rows.groupBy("pool").applyInArrow(_kinds_in_task(least, dim), "pool string, id string, score double, kind long")
     few = rows.join(large, "pool", "left_anti").groupBy("pool").applyInArrow(_kinds_in_task(least, dim), "pool string, id string, score double, kind long")
-    return few.unionByName(_kinds_of_large(rows.join(large, "pool", "left_semi"), least, k, rows_per_partition, mean_probes, small, dim))
+    return few.unionByName(_kinds_of_large(rows.join(large, "pool", "left_semi"), least, rows_per_partition, small, dim))
 
 
 def varied_subset(items: DataFrame, requests: DataFrame) -> DataFrame:

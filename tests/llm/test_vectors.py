@@ -330,3 +330,34 @@ def test_mean_probes_find_loose_pairs(spark, vectors):
     for probes, recall in ((dc.MEAN_PROBES, 0.995), (neighbours.MEAN_PROBES, 0.998)):
         model = fit_partitions(df, "asset_id", "embedding", 600, probes)
         assert len(met_pairs(model, u) & want) >= recall * len(want)
+
+
+def test_kinds_of_large_pools_are_exact(spark):
+    # loose groups, a dense one, chains of it, and copies
+    x = np.r_[clustered(31, [2] * 1000, alone=100, noise=0.38), clustered(32, [300], alone=0, noise=0.4)]
+    x = np.r_[x, x[:1].repeat(50, 0)]
+    rows = [("p", f"{k:04}", 0.5, v) for k, v in enumerate(x.tolist())]
+    pools = spark.createDataFrame(rows, "pool string, id string, score double, vec array<float>")
+    got, want = defaultdict(set), defaultdict(set)
+    for r in kinds(pools, pool_most=100, rows_per_partition=60).collect():
+        got[r["kind"]].add(r["id"])
+    for k, c in enumerate(components(x, 0.86)):
+        want[c].add(f"{k:04}")
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_joining_edges():
+    from photosluice.llm.coverage import joining_edges
+
+    rng = np.random.default_rng(4)
+    for share in (0.01, 0.2, 0.9):
+        mask = rng.random((40, 30)) < share
+        mask[:20, :15] |= rng.random((20, 15)) < 0.8
+        i, j = joining_edges(mask)
+        assert mask[i, j].all() and len(i) <= 2 * 70
+        all_i, all_j = np.nonzero(mask)
+        parts = []
+        for a, b in ((i, j), (all_i, all_j)):
+            _, ends, root = dc._union_find(a, b + 40)
+            parts.append(dict(zip(ends.tolist(), root.tolist())))
+        assert parts[0] == parts[1]
