@@ -361,3 +361,25 @@ def test_joining_edges():
             _, ends, root = dc._union_find(a, b + 40)
             parts.append(dict(zip(ends.tolist(), root.tolist())))
         assert parts[0] == parts[1]
+
+
+@pytest.mark.parametrize("params", [{}, {"rows_per_partition": 4}])
+def test_chains_are_no_groups(spark, vectors, params):
+    def at(*angles):
+        rows = np.zeros((len(angles), 64))
+        rows[:, 0], rows[:, 1] = np.cos(angles), np.sin(angles)
+        return rows.tolist()
+
+    # a group of nine, more than the edges that a vector keeps; two tight groups of four joined by a bridge
+    group = clustered(3, [9], alone=0).tolist()
+    chain = at(0.0, 0.01, 0.02, 0.03, 0.4, 0.8, 0.81, 0.82, 0.83)
+    ids = [f"g{k}" for k in range(9)] + [f"h{k}" for k in range(9)]
+    df = vectors(ids, group + chain)
+    got = {(r["cluster_key"], r["id"]) for r in dc.density_clusters(df, mutual="only", **params).collect()}
+    assert got == {("g0", i) for i in ids[:9]}
+    by = defaultdict(set)
+    for r in dc.density_clusters(df, mutual="divide", **params).collect():
+        by[r["cluster_key"]].add(r["id"])
+    assert by["g0"] == set(ids[:9])
+    if not params:
+        assert by["h0"] - {"h4"} == {"h0", "h1", "h2", "h3"} and {"h5", "h6", "h7", "h8"} in [g - {"h4"} for g in by.values()]
