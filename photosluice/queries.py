@@ -63,6 +63,11 @@ def _frame(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame
     return asset_frame(rows if vectors else rows.drop("embedding"))
 
 
+def _one_size(df: DataFrame) -> DataFrame:
+    """Embeddings of another size than 64 resemble nothing: they become null, their records stay."""
+    return df.withColumn("embedding", F.when(F.size("embedding") == 64, F.col("embedding")))
+
+
 def _by_album(frame: DataFrame) -> DataFrame:
     """One context an album, those of no album together."""
     return split(frame, F.coalesce("album_id", F.lit("none")), F.lit(0))
@@ -270,8 +275,7 @@ def part_phash(spark, d):
 
 @query()
 def part_faiss(spark, d):
-    usable = _frame(spark, d, vectors=True).where(F.size("embedding") == 64)
-    return _group(partition.by_near_vectors(_by_album(usable), 0.95))
+    return _group(partition.by_near_vectors(_by_album(_one_size(_frame(spark, d, vectors=True))), 0.95))
 
 
 @query(
@@ -369,8 +373,7 @@ def sel_avoid_repeat(spark, d):
 
 @query()
 def sel_diverse_pick(spark, d):
-    usable = _frame(spark, d, vectors=True).where(F.size("embedding") == 64)
-    chosen = select.diverse_pick(partition.by_time(usable, 5.0))
+    chosen = select.diverse_pick(partition.by_time(_one_size(_frame(spark, d, vectors=True)), 5.0))
     return _picked(chosen, F.element_at("ord", -1).alias("turn"), "group_best")
 
 
@@ -481,21 +484,21 @@ def composite_phash(spark, d):
 @query()
 def composite_similar(spark, d):
     env = _env(spark, d)
-    env.assets = env.assets.where(F.size("embedding") == 64)
+    env.assets = _one_size(env.assets)
     return _picked(run_pipeline([["source", {"type": "library"}], "dedup.similar"], env))
 
 
 @query()
 def composite_scenes(spark, d):
     env = _env(spark, d)
-    env.assets = env.assets.where(F.size("embedding") == 64)
+    env.assets = _one_size(env.assets)
     return _picked(run_pipeline([["source", {"type": "library"}], "dedup.scenes"], env), "group_best")
 
 
 @query()
 def best_of_year(spark, d):
     env = _env(spark, d)
-    env.assets = env.assets.where(F.size("embedding") == 64)
+    env.assets = _one_size(env.assets)
     settings = {
         "by_year": {"year": 2020},
         "min_score": {"threshold": 0.2},

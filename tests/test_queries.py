@@ -38,6 +38,16 @@ def test_query_runs(spark, name):
     assert core.queries()[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", ["best_of_year", "composite_similar", "composite_scenes", "sel_diverse_pick", "part_faiss"])
+def test_records_without_vectors_stay(spark, name):
+    assets = spark.read.parquet(f"{DATA}/assets.parquet")
+    bare = assets.where("coalesce(size(embedding), -1) <> 64").select("asset_id").distinct()
+    got = core.queries()[name](spark, DATA)
+    assert got.join(bare, "asset_id", "left_semi").count() > 0
+    if name == "part_faiss":
+        assert got.select("asset_id").distinct().count() == assets.where("asset_id is not null").select("asset_id").distinct().count()
+
+
 def test_entry_and_ship(tmp_path):
     code = (
         "import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; from pyspark.sql import SparkSession;"
