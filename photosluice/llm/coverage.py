@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photosluice.core.storage import settle
-from photosluice.llm.density_clusters import KRUSKAL_MOST, spanning_forest
+from photosluice.llm.density_clusters import FINISH_MOST, spanning_forest
 from photosluice.llm.neighbours import _TIE
 from photosluice.llm.vectors import DIM, looks_usable, pack, unit, usable_rows, vector_key
 
@@ -133,7 +133,7 @@ def kinds(
     least: float = 0.86,
     pool_most: int = POOL_MOST,
     rows_per_partition: int = 6000,
-    small: int = KRUSKAL_MOST,
+    small: int = FINISH_MOST,
     dim: int = DIM,
 ) -> DataFrame:
     """(``pool``, ``id``, ``score``, ``kind``) for rows (``pool``, ``id``, ``score``, ``vec``), one a pool and id.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photosluice.llm.learned_partitions import PartitionModel, fit_partitions
@@ -17,13 +17,18 @@ _SEP = "\x1f"
 _TIE = 2e-6  # float32 products may differ by so much from those in double
 
 
-def routed(df: DataFrame, id_col: str, vec_col: str, model: PartitionModel, keep_ids: int, dim: int = DIM) -> DataFrame:
+def routed(df: DataFrame, id_col: str | Column, vec_col: str, model: PartitionModel, keep_ids: int, dim: int = DIM, marks: int = 0) -> DataFrame:
     """One row for every distinct usable vector and partition that it is stored or sought in.
 
     Columns: ``part``, ``home`` (stored there), ``h`` (vector key), ``v`` (packed float32) and
     ``ids``, the ``keep_ids`` smallest ids of the vector's copies. Copies within a batch are
     joined before the shuffle, so that a vector shared by a third of all rows stays small.
+
+    With ``marks``, ids are longs, of which at most ``marks`` come as ``m``, and each row also has
+    ``hp``, its vector's own partition, and ``via``, all partitions in which the vector meets others
+    (but for those of its own dense group).
     """
+    bounds = None if model.dense is None else model.partitions + np.cumsum(model.blocks * (model.blocks + 1) // 2)
 
     def route(batches):
         for b in batches:
@@ -45,6 +50,9 @@ def routed(df: DataFrame, id_col: str, vec_col: str, model: PartitionModel, keep
                         names[u] = _SEP.join(sorted({x for x in ids[order[s:e]] if x is not None})[:keep_ids])
             rows = rows[first]
             routes = model.route(unit(rows).astype(np.float32), uniq)
+            if marks:
+                hp, via = _paths(len(uniq), *routes, bounds, model.partitions)
+                few = _few_of(inverse, b.column(0).to_numpy(zero_copy_only=False)[at], len(uniq), marks)
             for s in range(0, len(routes[0]), ROUTE_ROWS):
                 row, part, home = (r[s : s + ROUTE_ROWS] for r in routes)
                 cols = [pa.array(part.astype(np.int32)), pa.array(home), pa.array(uniq[row]), pack(rows[row])]
@@ -52,12 +60,42 @@ def routed(df: DataFrame, id_col: str, vec_col: str, model: PartitionModel, keep
                 if keep_ids:
                     cols.append(pa.array(names[row], pa.string()))
                     fields.append("ids")
+                if marks:
+                    cols += [pa.array(hp[row]), via.take(pa.array(row)), few.take(pa.array(row))]
+                    fields += ["hp", "via", "m"]
                 yield pa.RecordBatch.from_arrays(cols, names=fields)
 
-    schema = "part int, home boolean, h long, v binary" + (", ids string" if keep_ids else "")
+    schema = "part int, home boolean, h long, v binary" + (", ids string" if keep_ids else "") + (", hp int, via array<int>, m array<long>" if marks else "")
     return df.select(id_col, vec_col, vector_key(vec_col).alias("h")).mapInArrow(route, schema)
 
 
+def _paths(n: int, row: np.ndarray, part: np.ndarray, home: np.ndarray, bounds, plain: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Own partition of each of ``n`` vectors and the list of partitions it meets others in."""
+    hp = np.full(n, np.iinfo(np.int32).max, np.int32)
+    np.minimum.at(hp, row[home], part[home].astype(np.int32))  # the diagonal is the first of a block's partitions
+    keep = slice(None)
+    if bounds is not None:
+        group = lambda p: np.searchsorted(bounds, p, side="right")
+        keep = (hp[row] < plain) | (group(part) != group(hp[row]))
+    return hp, _list_of(row[keep], part[keep].astype(np.int32), n)
+
+
+def _few_of(group: np.ndarray, value: np.ndarray, n: int, most: int) -> pa.ListArray:
+    """The ``most`` smallest distinct values of each of ``n`` groups."""
+    order = np.lexsort((value, group))
+    g, v = group[order], value[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+    g, v = g[new], v[new]
+    keep = np.arange(len(g)) - np.searchsorted(g, g) < most
+    return _list_of(g[keep], v[keep], n)
+
+
+def _list_of(group: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(value[order]))
+
+
 def partition_arrays(table: pa.Table, dim: int = DIM) -> tuple[np.ndarray, np.ndarray, int, list[str] | None]:
     """(keys, float32 rows, number stored here, ids): stored vectors first, every key once a side."""
     key = table.column("h").to_numpy()

@@ -22,7 +22,7 @@ def effective_score(df: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photosluice.llm.density_clusters import density_clusters
 
-    found = density_clusters(_table(spark, sf_dir, "assets"), mutual="only")
+    found = density_clusters(_table(spark, sf_dir, "assets"), mutual=True)
     return found.select("cluster_key", F.col("id").alias("asset_id"))
 
 
@@ -30,7 +30,7 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photosluice.llm.density_clusters import density_clusters, exemplars
 
     assets = _table(spark, sf_dir, "assets")
-    return exemplars(density_clusters(assets, mutual="divide"), effective_score(assets)).withColumnRenamed("id", "asset_id")
+    return exemplars(density_clusters(assets), effective_score(assets)).withColumnRenamed("id", "asset_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
