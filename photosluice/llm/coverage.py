@@ -1,16 +1,19 @@
 """A varied subset of a given size, by concave feature coverage.
 
 Every record carries mass 1 of one feature, its kind (records similar to each other share one).
-The objective is the sum over kinds of the square root of the selected mass, so the p-th record of
-a kind adds ``sqrt(p) - sqrt(p - 1)``: representing a new kind is always worth more than repeating
-one. Thresholds descend through the attainable gains, and each round takes every record whose
-marginal gain reaches the threshold. Since a record's gain depends only on its place in its kind,
-all rounds are evaluated at once: a count of records by gain gives the threshold at which a pool
-is full; rounds above it are taken whole, the last one by score.
+The objective is the sum over kinds of the square root of the selected mass, so a record adds
+``sqrt(m + 1) - sqrt(m)`` to a kind of which ``m`` are selected: representing a new kind is always
+worth more than repeating one. A threshold descends in rounds; each round adds the records whose
+marginal gain exceeds it, given all those before them, to every request at once. The round that
+would overfill a request adds the largest gains first, so that the result does not depend on how
+fast the threshold descends.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,6 +26,7 @@ from photosluice.llm.vectors import DIM, looks_usable, pack, unit, usable_rows,
 
 POOL_MOST = 8000  # records of a pool whose kinds one task finds exactly, about 3 MB of vectors
 SALT = 32
+DESCENT = 0.5  # by which the threshold is multiplied from round to round
 
 
 def components(rows: np.ndarray, least: float, block: int = 1024) -> np.ndarray:
@@ -150,7 +154,7 @@ def kinds(
     return few.unionByName(_kinds_of_large(rows.join(large, "pool", "left_semi"), least, rows_per_partition, small, dim))
 
 
-def varied_subset(items: DataFrame, requests: DataFrame) -> DataFrame:
+def varied_subset(items: DataFrame, requests: DataFrame, descent: float = DESCENT) -> DataFrame:
     """(``request_id``, ``id``, ``gain``): the ``pick_size`` records of each request's pool that cover it best.
 
     ``items`` has (``pool``, ``id``, ``score``, ``kind``), ``requests`` (``request_id``, ``pool``,
@@ -165,21 +169,41 @@ def varied_subset(items: DataFrame, requests: DataFrame) -> DataFrame:
     order = [F.desc("score"), F.asc("id")]
     share = Window.partitionBy("pool", "kind", "salt").orderBy(*order)
     cut = salted.withColumn("p", F.row_number().over(share)).where("p <= most").drop("p")
+    # a kind's records in the order in which they are tried: `place` is the mass before them, and one
     placed = cut.withColumn("place", F.row_number().over(Window.partitionBy("pool", "kind").orderBy(*order))).where("place <= most")
-    placed = settle(placed.select("pool", "id", "score", "place", "most"), "placed")
-    # the count by gain, which descends with the place
-    counts = placed.groupBy("pool", "place").agg(F.count("*").alias("n"))
-    sofar = counts.withColumn("until", F.sum("n").over(Window.partitionBy("pool").orderBy("place")))
-    rounds = sofar.join(requests, "pool").where(F.col("until") - F.col("n") < F.col("pick_size"))
-    rounds = rounds.select("pool", "request_id", "place", (F.col("pick_size") - (F.col("until") - F.col("n"))).alias("room"), "n")
+    gain = F.sqrt("place") - F.sqrt(F.col("place") - 1)
+    placed = settle(placed.select("pool", "id", "score", "place", gain.alias("gain")), "placed")
+    levels = settle(placed.groupBy("pool", "gain").agg(F.count("*").alias("n")), "gains")
+    # per request: what is still open, down to which gain all are added, and down to which some are
+    state = requests.select("request_id", "pool", F.col("pick_size").cast("long").alias("room"), F.lit(2.0).alias("whole"), F.lit(None).cast("double").alias("some"))
+    state, done, threshold = settle(state.join(levels.select("pool").distinct(), "pool", "left_semi"), "requests"), [], 1.0
+    while state.limit(1).count():
+        threshold *= descent
+        reach = (F.col("gain") >= threshold) & (F.col("gain") < F.col("whole"))
+        found = state.join(levels, "pool").groupBy("request_id", "pool", "room", "whole").agg(
+            F.sum(F.when(reach, F.col("n")).otherwise(0)).alias("n"), F.min("gain").alias("least")
+        )
+        full = F.col("n") > F.col("room")
+        after = found.select(
+            "request_id", "pool",
+            F.when(full, F.col("room")).otherwise(F.col("room") - F.col("n")).alias("room"),
+            F.when(full, F.col("whole")).otherwise(F.lit(threshold)).alias("whole"),
+            F.when(full, F.lit(threshold)).alias("some"),
+            (full | (F.col("n") == F.col("room")) | (F.col("least") >= threshold)).alias("end"),
+        )
+        after = settle(after, "round")
+        done.append(after.where("end").drop("end"))
+        state = after.where("not end").drop("end")
+    if not done:
+        return placed.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "id", "gain").limit(0)
+    taken = placed.join(reduce(DataFrame.unionByName, done), "pool")
+    whole = taken.where("gain >= whole")
     # rows beyond the room of the last round go before its records meet: first in shares, then whole
-    taken = placed.join(rounds, ["pool", "place"])
-    whole = taken.where("n <= room")
-    last = taken.where("n > room").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    last = taken.where("gain < whole and gain >= some").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    order = [F.desc("gain"), *order]
     last = last.withColumn("p", F.row_number().over(Window.partitionBy("request_id", "salt").orderBy(*order))).where("p <= room")
     last = last.withColumn("p", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).where("p <= room")
-    gain = (F.sqrt("place") - F.sqrt(F.col("place") - 1)).alias("gain")
-    return whole.select("request_id", "id", gain).unionByName(last.select("request_id", "id", gain))
+    return whole.select("request_id", "id", "gain").unionByName(last.select("request_id", "id", "gain"))
 
 
 def pick_varied(requests: DataFrame, contexts: DataFrame, assets: DataFrame, **params) -> DataFrame:
@@ -200,7 +224,7 @@ def pick_varied(requests: DataFrame, contexts: DataFrame, assets: DataFrame, **p
     return picked.select("request_id", F.col("id").alias("asset_id"), "gain")
 
 
-def cover_by_rounds(items: DataFrame, features: DataFrame, requests: DataFrame, epsilon: float = 0.2, most_rounds: int = 200) -> DataFrame:
+def cover_by_rounds(items: DataFrame, features: DataFrame, requests: DataFrame, epsilon: float = 0.2) -> DataFrame:
     """(``request_id``, ``id``, ``round``, ``gain``): as :func:`varied_subset`, for records with any number of features.
 
     ``items`` has (``pool``, ``id``, ``score``), ``features`` (``pool``, ``id``, ``feature``,
@@ -208,7 +232,7 @@ def cover_by_rounds(items: DataFrame, features: DataFrame, requests: DataFrame,
     raised in rounds: a threshold begins at a request's best gain and falls by ``epsilon`` or to
     the best gain left; each round adds, in order of score and id, the records whose gain reaches
     it even after all those before them in the round. Records that add nothing follow by score
-    only if room is left. Ends when every request is full, or after ``most_rounds``.
+    only if room is left. Ends when every request is full: each round adds at least its best record.
     """
     wanted = requests.where("pick_size > 0 and pool is not null").select("request_id", "pool", "pick_size")
     rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")).alias("rank")
@@ -219,7 +243,7 @@ def cover_by_rounds(items: DataFrame, features: DataFrame, requests: DataFrame,
     total = weights.select("request_id", "feature").distinct().withColumn("total", F.lit(0.0))
     levels, out = None, []
     added = lambda have, more: F.sqrt(have + more) - F.sqrt(have)
-    for number in range(most_rounds):
+    for number in count():
         live = open_items.join(room.where("room > 0"), "request_id").select("request_id", "id", "rank", "room")
         held = live.join(weights, ["request_id", "id"]).join(total, ["request_id", "feature"])
         gains = held.groupBy("request_id", "id", "rank", "room").agg(F.sum(added(F.col("total"), F.col("mass"))).alias("gain"))
