@@ -3,12 +3,21 @@
 Windows of a quarter of the wanted length are chosen by content (every stretch of the wanted
 length holds at least one, the same in every text). Those that occur in one text only are dropped;
 the others are extended to twice that length, both ways, and again only repeated ones survive.
-Around the survivors all windows of the full length are compared, so the result is exact. Each
+Where survivors leave room for it, windows of twice the wanted length are chosen by content, and
+those repeated are extended to twice that length again, until no candidates survive: whatever
+lies inside one is shared without more ado, and one text alone stands for its inner windows. Around
+all other survivors every window of the wanted length is compared, so the result is exact, and
+a passage copied often costs its length once and a few rows a copy. Each
 level touches only what the level before left, and no pairs of texts are ever formed.
+
+Windows of the wanted length and more are compared by two independent hashes of their
+characters, 128 bits together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +37,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def window_hashes(codes: np.ndarray, base: int, doublings: int) -> list[np.ndarray]:
+def window_hashes(codes: np.ndarray, base: int, doublings: int, _A: np.uint64 = _A) -> list[np.ndarray]:
     """Hashes of all windows of ``base * 2**i`` characters, i = 0..doublings, by their start."""
     n = max(len(codes) - base + 1, 0)
     h = codes[:n].astype(np.uint64)
@@ -85,8 +94,7 @@ def _pieces(texts: list[str]):
 def _anchors(min_chars: int):
     """Map of (key, text) to chosen windows of a quarter with the hashes of both extensions."""
     quarter, half = min_chars // 4, min_chars // 2
-    base = next(b for b in (5, 4, 3, 2, 1) if quarter % b == 0 and (quarter // b) & (quarter // b - 1) == 0)
-    steps = (quarter // base).bit_length() - 1
+    base, steps = _base(min_chars)
     reach = min_chars - quarter + 1
 
     def find(batches):
@@ -120,50 +128,136 @@ def _anchors(min_chars: int):
     return find, "k long, p int, h long, hl long, hr long"
 
 
-def _full_windows(min_chars: int):
-    """Map of (key, text, starts of surviving halves) to all windows of the full length around them."""
-    half = min_chars // 2
+def _base(min_chars: int) -> tuple[int, int]:
+    """Length of the shortest windows hashed, and the doublings from it to a quarter of ``min_chars``."""
     quarter = min_chars // 4
     base = next(b for b in (5, 4, 3, 2, 1) if quarter % b == 0 and (quarter // b) & (quarter // b - 1) == 0)
-    steps = (quarter // base).bit_length() - 1
+    return base, (quarter // base).bit_length() - 1
+
+
+def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges ``low`` to ``high`` (exclusive) joined where they meet."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order]) if len(order) else high
+    new = np.r_[True, low[1:] > high[:-1]] if len(low) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    return low[begin], high[np.r_[begin[1:], len(low)] - 1] if len(begin) else high
+
+
+def _ranges(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high) of a column of lists of ranges."""
+    lists = batch.column(column)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    return row, *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+
+
+_RANGES = "array<struct<low:int,high:int>>"
+
+
+def _zones(min_chars: int):
+    """Map of (key, length, starts of surviving halves) to the ranges in which windows of the full length may start."""
 
     def find(batches):
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            texts, marks = b.column(1).to_pylist(), b.column(2)
-            for i, codes, starts, size in _pieces(texts):
-                h = window_hashes(codes, base, steps + 2)
-                halves, full = h[steps + 1], h[steps + 2]
-                part = marks.slice(i, len(size))
-                of = np.repeat(np.arange(len(size)), part.value_lengths().to_numpy(zero_copy_only=False))
-                s = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                low = np.maximum(s - half, 0)
-                high = np.minimum(s, size[of] - min_chars)  # the last start
-                ok = high >= low
-                step = np.zeros(len(codes) + 1, np.int64)
-                np.add.at(step, starts[of[ok]] + low[ok], 1)
-                np.add.at(step, starts[of[ok]] + high[ok] + 1, -1)
-                at = np.flatnonzero(np.cumsum(step) > 0)
+            n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = b.column(2)
+            row = np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            s = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            low, high = np.maximum(s - min_chars // 2, 0), np.minimum(s, n[row] - min_chars) + 1
+            ok = high > low
+            row, low, high = row[ok], low[ok], high[ok]
+            wide = int(n.max()) + 2 if len(n) else 1  # keeps the ranges of different rows apart
+            low, high = _merged(row * wide + low, row * wide + high)
+            yield _ranged(b.column(0), len(n), low // wide, low % wide, high % wide)
+
+    return find, f"k long, zones {_RANGES}"
+
+
+def _ranged(keys: pa.Array, n: int, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    cuts = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    ranges = pa.StructArray.from_arrays([pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["low", "high"])
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(cuts, ranges)], names=["k", "zones"])
+
+
+def _windows(min_chars: int, doublings: int):
+    """Map of (key, text, zones, covered, lead) to windows of ``min_chars * 2**doublings`` characters with two hashes.
+
+    Without ``doublings`` all that start in the zones and lie in no covered range, and all in a lead
+    range, which are ``sure``; else those that lie in what the zones' windows span, and of these some
+    chosen by content.
+    """
+    base, steps = _base(min_chars)
+    size = min_chars << doublings
+
+    def find(batches):
+        for b in batches:
+            keys, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            zone, inner, lead = (_ranges(b, c) for c in ("zones", "covered", "lead"))
+            for i, codes, starts, length in _pieces(texts):
+                h = window_hashes(codes, base, steps + 2 + doublings)
+                g = window_hashes(codes, base, steps + 2 + doublings, _C)[-1]
+
+                def inside(ranges, shift):
+                    row, low, high = ranges
+                    here = (row >= i) & (row < i + len(length)) & (high + shift > low)
+                    at, change = starts[row[here] - i], np.zeros(len(codes) + 2, np.int64)
+                    np.add.at(change, at + low[here], 1)
+                    np.add.at(change, at + high[here] + shift, -1)
+                    return np.cumsum(change)[: len(h[-1])] > 0
+
+                take = inside(zone, min_chars - size)  # the last window ends where the zone's last one does
+                sure = np.zeros(len(take), bool)
+                if not doublings and len(inner[0]):
+                    sure = inside(lead, 1 - min_chars)
+                    take = sure | (take & ~inside(inner, 1 - min_chars))
+                at = np.flatnonzero(take)
+                if doublings:
+                    at = np.intersect1d(at, chosen_windows(h[steps][: len(h[-1])], size // 4), assume_unique=True)
                 text = np.searchsorted(starts, at, side="right") - 1
-                second = _mix(halves[at] * _C + halves[at + half] * _B) if len(at) else np.zeros(0, np.uint64)
                 for c in range(0, len(at), 500_000):
                     t = slice(c, c + 500_000)
+                    p = at[t] - starts[text[t]]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[i + text[t]]),
-                            pa.array((at[t] - starts[text[t]]).astype(np.int32)),
-                            pa.array(full[at[t]].view(np.int64)),
-                            pa.array(second[t].view(np.int64)),
-                        ],
-                        names=["k", "p", "h", "g"],
+                        [pa.array(keys[i + text[t]]), pa.array(p.astype(np.int32)), pa.array(h[-1][at[t]].view(np.int64)), pa.array(g[at[t]].view(np.int64)), pa.array(sure[at[t]])],
+                        names=["k", "p", "h", "g", "sure"],
                     )
 
-    return find, "k long, p int, h long, g long"
+    return find, "k long, p int, h long, g long, sure boolean"
+
 
+def _repeated(windows: DataFrame, kinds: DataFrame | None, *by: str, more: tuple = (), sure: str = "false") -> DataFrame:
+    """Hashes found in more than one document; ``kinds`` is given if some document has several texts."""
+    first, last = F.col("k"), F.col("k")
+    if kinds is not None:
+        windows, first, last = windows.join(kinds.select("k", "rep", "last"), "k"), F.col("rep"), F.col("last")
+    found = windows.groupBy(*by).agg(F.min(first).alias("lo"), F.max(last).alias("hi"), F.max(F.expr(sure)).alias("known"), *more)
+    return found.where("lo <> hi or known").drop("lo", "hi", "known")
 
-def _repeated(windows: DataFrame, *by: str) -> DataFrame:
-    """Hashes found in more than one text."""
-    return windows.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select(*by)
+
+def _long_windows(text: DataFrame, marked: DataFrame, twins: DataFrame | None, min_chars: int) -> DataFrame | None:
+    """(``k``, ``s``, ``e``, ``lead``): repeated stretches of twice ``min_chars`` and more, doubled until none survive.
+
+    Of equal stretches one leads.
+    """
+    doublings, found = 1, []
+    room = lambda size: F.filter("zones", lambda z: z["high"] - z["low"] > size - min_chars)
+    zones = marked.select("k", "doc_id", room(2 * min_chars).alias("zones")).where(F.size("zones") > 0)
+    live = settle(text.join(zones, ["k", "doc_id"]).select("k", "text", "n", "zones", F.array().cast(_RANGES).alias("covered"), F.array().cast(_RANGES).alias("lead")), "long-texts")
+    while live.limit(1).count():
+        size = min_chars << doublings
+        find, schema = _windows(min_chars, doublings)
+        windows = settle(live.select("k", "text", "zones", "covered", "lead").mapInArrow(find, schema), "long-windows")
+        same = windows.join(_repeated(windows, twins, "h", "g", more=(F.min(F.struct("k", "p")).alias("one"),)), ["h", "g"])
+        lead = (F.col("k") == F.col("one.k")) & (F.col("p") == F.col("one.p"))
+        kept = settle(same.select("k", F.col("p").alias("s"), (F.col("p") + size).alias("e"), lead.alias("lead")), "long-kept")
+        found.append(kept)
+        # the next level lies around what survived
+        around = kept.groupBy("k").agg(F.collect_list(F.struct(F.col("s").alias("low"), F.col("e").alias("high"))).alias("near"))
+        near = F.transform("near", lambda x: F.struct(F.greatest(F.lit(0), x["low"] - size).alias("low"), (F.least(F.col("n"), x["high"] + size) - min_chars + 1).cast("int").alias("high")))
+        live = live.join(around, "k").withColumn("zones", near).withColumn("zones", room(2 * size)).where(F.size("zones") > 0)
+        live, doublings = settle(live.select("k", "text", "n", "zones", "covered", "lead"), "long-texts"), doublings + 1
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -171,9 +265,10 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A character is shared if it lies in a stretch of at least ``min_chars`` characters that stands
     verbatim in another document too. Whole copies of a text are compared once and shared whole.
-    A document delivered twice is no other document. Null, blank and shorter texts have no spans;
-    documents without an id are left out; an empty table gives no rows; other columns are ignored.
-    ``min_chars`` must be a multiple of 4 whose quarter is 1..5 times a power of two.
+    A document delivered twice, be it in two versions, is no other document. Null, blank and
+    shorter texts have no spans; documents without an id are left out; an empty table gives no
+    rows; other columns are ignored. ``min_chars`` must be a multiple of 4 whose quarter is 1..5
+    times a power of two.
     """
     if min_chars % 4:
         raise ValueError("min_chars must be a multiple of 4")
@@ -183,26 +278,46 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("k"))
     owners = settle(text.select("k", "doc_id", F.length("text").alias("n")).distinct(), "owners")
     kinds = owners.groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n").alias("n"))
+    twins = kinds if owners.groupBy("doc_id").count().where("count > 1").limit(1).count() else None
     find, schema = _anchors(min_chars)
     anchors = settle(text.select("k", "text").mapInArrow(find, schema), "anchors")
-    level = anchors.join(_repeated(anchors.select("k", "h"), "h"), "h", "left_semi")
+    level = anchors.join(_repeated(anchors.select("k", "h"), twins, "h"), "h", "left_semi")
     quarter = min_chars // 4
     twice = level.select("k", F.explode(F.array(F.struct((F.col("p") - quarter).alias("s"), F.col("hl").alias("h")), F.struct(F.col("p").alias("s"), F.col("hr").alias("h")))).alias("x"))
     twice = settle(twice.where("x.h is not null").select("k", "x.s", "x.h").distinct(), "halves")
-    halves = twice.join(_repeated(twice, "h"), "h", "left_semi").groupBy("k").agg(F.collect_set("s").alias("starts"))
-    marked = halves.join(kinds.select("k", F.col("rep").alias("doc_id")), "k")
-    find, schema = _full_windows(min_chars)
-    windows = settle(text.join(marked, ["doc_id", "k"]).select("k", "text", "starts").mapInArrow(find, schema), "windows").distinct()
-    windows = windows.join(_repeated(windows, "h", "g"), ["h", "g"], "left_semi")
-    w = Window.partitionBy("k").orderBy("p")
-    gap = windows.select("k", "p", (F.col("p") > F.lag("p").over(w) + min_chars).cast("int").alias("new"))
-    runs = gap.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(w)).groupBy("k", "run").agg(F.min("p").alias("s"), F.max("p").alias("e"))
+    halves = twice.join(_repeated(twice, twins, "h"), "h", "left_semi").groupBy("k").agg(F.collect_set("s").alias("starts"))
+    find, schema = _zones(min_chars)
+    marked = halves.join(kinds, "k").select("k", F.col("n").cast("int").alias("n"), "starts").mapInArrow(find, schema)
+    # of copies one is read
+    marked = settle(marked.where(F.size("zones") > 0).join(kinds.select("k", F.col("rep").alias("doc_id")), "k"), "zones")
+    one = text.select("k", "doc_id", "text", F.length("text").alias("n"))
+    sure = _long_windows(one, marked, twins, min_chars)
+    none = F.array().cast(_RANGES)
+    rest = marked.withColumns({"covered": none, "lead": none})
+    if sure is not None:
+        of = lambda test: F.coalesce(F.collect_list(F.when(test, F.struct(F.col("s").alias("low"), F.col("e").alias("high")))), none)
+        inner = sure.groupBy("k").agg(of(F.lit(True)).alias("covered"), of(F.col("lead")).alias("lead"))
+        rest = marked.join(inner, "k", "left").withColumns({c: F.coalesce(c, none) for c in ("covered", "lead")})
+    find, schema = _windows(min_chars, 0)
+    windows = one.join(rest, ["k", "doc_id"]).select("k", "text", "zones", "covered", "lead").mapInArrow(find, schema)
+    windows = settle(windows, "windows").distinct()
+    windows = windows.join(_repeated(windows, twins, "h", "g", sure="sure"), ["h", "g"], "left_semi")
+    every = windows.select("k", F.col("p").alias("s"), (F.col("p") + min_chars).alias("e"))
+    runs = _runs(every if sure is None else every.unionByName(sure.drop("lead")))
     several = kinds.where("rep <> last")
-    found = runs.join(several, "k", "left_anti").select("k", F.col("s").cast("long").alias("span_start"), (F.col("e") - F.col("s") + min_chars).cast("long").alias("span_chars"))
+    found = runs.join(several, "k", "left_anti").select("k", F.col("s").cast("long").alias("span_start"), (F.col("e") - F.col("s")).cast("long").alias("span_chars"))
     whole = several.select("k", F.lit(0).cast("long").alias("span_start"), F.col("n").cast("long").alias("span_chars"))
     return owners.select("k", "doc_id").join(found.unionByName(whole), "k").select("doc_id", "span_start", "span_chars")
 
 
+def _runs(ranges: DataFrame) -> DataFrame:
+    """(``k``, ``s``, ``e``): ranges joined where they meet."""
+    w = Window.partitionBy("k").orderBy("s", "e")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = ranges.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1))
+    return new.withColumn("run", F.sum("new").over(w)).groupBy("k", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+
+
 def shared_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(``doc_id``, ``n_chars``, ``shared_chars``, ``shared_part``) of every document, null texts counting no characters."""
     every = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.coalesce(F.length(text_col), F.lit(0))).cast("long").alias("n_chars"))

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -249,3 +250,56 @@ def test_mixes(spark, per_share):
     report = {(r["mix_id"], r["source"]): r["share"] for r in mix_report(mixed, goal).collect()}
     assert abs(report[("m", "small")] - 0.5) < 0.02 and report[("n", "absent")] == 0.0
     assert mix_sources(df.limit(0), goal).count() == 0 and mix_sources(df, goal.limit(0)).count() == 0
+
+
+def brute_spans(texts, m=160):
+    """(id, start, length) of shared runs in (id, text) rows, by comparing all windows."""
+    owners = defaultdict(set)
+    for i, t in texts:
+        for p in range(len(t) - m + 1):
+            owners[t[p : p + m]].add(i)
+    out = set()
+    for i, t in set(texts):
+        covered = [False] * (len(t) + 1)
+        for p in range(len(t) - m + 1):
+            if len(owners[t[p : p + m]]) > 1:
+                covered[p : p + m] = [True] * m
+        s = None
+        for p, c in enumerate(covered):
+            if c and s is None:
+                s = p
+            elif not c and s is not None:
+                out.add((i, s, p - s))
+                s = None
+    return out
+
+
+def test_long_passages_and_parts_of_them(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, other = word(3000), word(700)
+    texts = [
+        (1, word(50) + long + word(90)),
+        (2, long[:2000] + word(30) + other),
+        (3, word(200) + long[1500:2900] + word(10)),
+        (4, word(20) + long[900:1101] + word(20) + long[1490:1660] + word(15)),  # less than the others share, astride what they share
+        (5, word(333) + other[100:500] + word(4) + long[2700:2859]),
+        (6, word(900) + long[2000:2160] * 2),
+        (7, word(170) * 3),
+        (8, other + other),
+        (9, "a" * 2000),
+        (10, word(10) + "a" * 700),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r["doc_id"], r["span_start"], r["span_chars"]) for r in shared_spans(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(texts)
+
+
+def test_versions_of_a_document_are_no_other_documents(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, both = word(400), word(200)
+    texts = [(1, common + word(40)), (1, word(30) + common), (2, word(50) + both), (3, both + word(60)), (4, both), (5, both)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["span_start"], r["span_chars"]) for r in shared_spans(df).collect()}
+    assert got == {(2, 50, 200), (3, 0, 200), (4, 0, 200), (5, 0, 200)}
