@@ -411,7 +411,8 @@ def hierarchy(x, n, reach, same, min_size, min_samples, epsilon):
         have = np.cumsum(n[order])
         far = d[i][order][np.argmax(have >= min_samples)] if have[-1] >= min_samples else reach
         core.append(far if far <= reach else same)
-    w = np.maximum(d, np.maximum.outer(core, core))
+    core = np.maximum.outer(core, core)
+    w = np.maximum(d, np.where(d <= same, np.minimum(core, same), core))
     edges = [(w[i, j], i, j) for i in range(len(x)) for j in range(i) if d[i, j] <= reach]
     tree, out = kruskal([(min(a, b), max(a, b), v) for v, a, b in edges]), set()
     label, _ = np.arange(len(x)), None
