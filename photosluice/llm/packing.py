@@ -1,15 +1,18 @@
 """Filling containers of fixed capacity with texts, by lexical retrieval.
 
-Documents are dealt to shards. In each shard an inverted index answers BM25 queries (statistics
-over all documents): the largest unused document seeds a container, its unused neighbours fill it
-greedily in order of similarity, and what room is left goes to the largest unused document that
-fits. Containers that stay emptier than ``FULL`` go up a tree of wider shards and are packed
-again, so that only the last few stay partly empty.
+Documents are dealt to shards by content: a learned balanced partitioning of their BM25 weights
+(projected to a few numbers) puts documents of like words together, so that a seed's neighbours
+are mostly in its own shard. In each shard an inverted index answers BM25 queries (all terms of
+the seed, statistics over all documents): the largest unused document seeds a container, its
+unused neighbours fill it greedily in order of similarity, and what room is left goes to the
+largest unused document that fits. Containers that stay emptier than ``FULL`` go up a tree of
+wider shards and are packed again, so that only the last few stay partly empty.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +20,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photosluice.core.storage import settle
+from photosluice.llm.learned_partitions import fit_partitions
+from photosluice.llm.neighbours import _paths
 from photosluice.llm.tokens import TOKENIZER, token_bags
+from photosluice.llm.vectors import DIM, unit
 
-DOCS_PER_SHARD = 2000
+DOCS_PER_SHARD = 8000
 FULL = 0.98
-QUERY_TERMS = 24
+WIDEST = 4  # how many times the documents of a shard a task may hold when open containers are packed again
+FIRST = 256  # neighbours put in order at once
 K1, B = 1.2, 0.75
 
 
+@lru_cache(maxsize=2)
+def _signs(size: int, dim: int = DIM) -> np.ndarray:
+    """Random signs that project term weights to ``dim`` numbers."""
+    return np.random.default_rng(29).choice(np.array([-1, 1], np.int8), (size, dim))
+
+
+def bm25_weights(idf: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray, mean_size: float) -> np.ndarray:
+    norm = K1 * (1 - B + B * size / max(mean_size, 1e-9))
+    return idf[term] * tf * (K1 + 1) / (tf + norm)
+
+
 class ShardIndex:
     """BM25 over the items of one shard; weights are precomputed per posting."""
 
@@ -35,36 +53,30 @@ class ShardIndex:
         term = np.concatenate(terms) if n else np.zeros(0, np.int64)
         tf = np.concatenate(tfs).astype(np.float64) if n else np.zeros(0)
         doc = np.repeat(np.arange(n), count)
-        norm = K1 * (1 - B + B * size / max(mean_size, 1e-9))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        weight = bm25_weights(idf, term, tf, size[doc], mean_size)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        self.doc, self.weight = doc[order], weight[order]
         self.begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        # a seed is queried by its most telling terms
-        self.query = []
-        at = np.r_[0, np.cumsum(count)]
-        for i in range(n):
-            w = weight[at[i] : at[i + 1]]
-            best = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-            self.query.append(terms[i][best])
-        self.n = n
-
-    def neighbours(self, i: int) -> np.ndarray:
-        """Items that share a query term with item ``i``, most similar first."""
-        ranges = [(self.begin[t], self.begin[t + 1]) for t in self.query[i]]
+        self.terms, self.n = terms, n
+
+    def neighbours(self, i: int):
+        """Items that share a term with item ``i``, most similar first, in arrays."""
+        ranges = [(self.begin[t], self.begin[t + 1]) for t in self.terms[i]]
         if not ranges:
-            return np.zeros(0, np.int64)
+            return
         docs = np.concatenate([self.doc[s:e] for s, e in ranges])
         score = np.bincount(docs, np.concatenate([self.weight[s:e] for s, e in ranges]), self.n)
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        least = np.partition(score[found], len(found) - FIRST)[len(found) - FIRST] if len(found) > 2 * FIRST else 0
+        for some in (found[score[found] >= least], found[score[found] < least]):
+            yield some[np.lexsort((some, -score[some]))]
 
 
 def fill(sizes: list[int], capacity: int, neighbours) -> list[list[int]]:
     """Containers of item positions: each seeded by the largest unused item, filled by its neighbours."""
     n = len(sizes)
     free = sorted((sizes[i], -i) for i in range(n))
-    used, out = [False] * n, []
+    used, out, size = np.zeros(n, bool), [], np.asarray(sizes, np.int64)
 
     def take(i: int) -> None:
         used[i] = True
@@ -76,13 +88,15 @@ def fill(sizes: list[int], capacity: int, neighbours) -> list[list[int]]:
         room = capacity - sizes[seed]
         take(seed)
         box = [seed]
-        if room > 0 and free and free[0][0] <= room:
-            for c in neighbours(seed).tolist():
-                if not used[c] and sizes[c] <= room:
+        for some in neighbours(seed) if room > 0 and free and free[0][0] <= room else ():
+            for c in some[~used[some] & (size[some] <= room)].tolist():
+                if sizes[c] <= room:
                     take(c), box.append(c)
                     room -= sizes[c]
                     if not free or free[0][0] > room:
                         break
+            if not free or free[0][0] > room:
+                break
         while free and room >= free[0][0]:
             at = bisect_right(free, (room, 1)) - 1
             i = -free[at][1]
@@ -92,6 +106,44 @@ def fill(sizes: list[int], capacity: int, neighbours) -> list[list[int]]:
     return out
 
 
+def content_shards(bags: DataFrame, idf: np.ndarray, mean_size: float, docs_per_shard: int) -> DataFrame:
+    """``bags`` with ``shard``: documents of like words together, about ``docs_per_shard`` in each.
+
+    A partition that the classifier overfills is divided by chance.
+    """
+
+    def project(batches):
+        signs = _signs(len(idf))
+        for b in batches:
+            terms, tfs = (_lists(b.column(c)) for c in ("terms", "tf"))
+            size = b.column("tokens").to_numpy(zero_copy_only=False)
+            rows = [bm25_weights(idf, t, f, s, mean_size) @ signs[t] for t, f, s in zip(terms, tfs, size)]
+            flat = np.asarray(rows, np.float32).ravel() if rows else np.zeros(0, np.float32)
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * DIM).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "vec"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bags.schema)
+    vectors = settle(bags.mapInArrow(project, f"{fields}, vec array<float>"), "projected")
+    model = fit_partitions(vectors, "doc_id", "vec", docs_per_shard, 1.0, least=0.98)
+
+    def home(batches):
+        for b in batches:
+            flat = b.column(b.num_columns - 1)
+            rows = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+            good = np.flatnonzero((rows != 0).any(axis=1))
+            part = np.full(len(rows), -1, np.int32)
+            if len(good):
+                routes = model.route(unit(rows[good]).astype(np.float32), good)
+                part[good], _ = _paths(len(good), *routes, None, model.partitions)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(part)], names=[*b.schema.names[:-1], "part"])
+
+    placed = settle(vectors.mapInArrow(home, f"{fields}, part int"), "placed")
+    # at most one row a partition of the model
+    counts = placed.groupBy("part").agg(F.ceil(F.count("*") / (1.5 * docs_per_shard)).alias("cuts"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.col("cuts"))
+    return placed.join(F.broadcast(counts), "part").withColumn("shard", F.col("part") * F.lit(1 << 20) + chance).drop("part", "cuts")
+
+
 def _idf(bags: DataFrame) -> tuple[np.ndarray, float]:
     """Weights by token id over all documents; their number is bounded by the vocabulary."""
     rows = bags.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()
@@ -115,7 +167,7 @@ def pack(
 
     ``sizes`` has (``pack_id``, ``capacity_tokens``). A document stays whole unless it alone
     exceeds the capacity: then it is cut into pieces of exactly the capacity and a rest, all
-    numbered. Every document occurs once in every pack, whole repeats of a row once; documents
+    numbered. Containers that packing again no longer fills stay as they are. Every document occurs once in every pack, whole repeats of a row once; documents
     with null or empty text take no room and are left out; rows without id too; packs of no
     capacity give no rows. ``container`` is unique within its pack. Empty tables give no rows.
     """
@@ -125,9 +177,10 @@ def pack(
     packs = _settings(sizes)
     kind = bags.schema["doc_id"].dataType.simpleString()
     schema = f"pack_id string, container string, place int, doc_id {kind}, piece long, token_start long, tokens long, kept boolean"
-    shards = max(1, -(-bags.count() // docs_per_shard))
-
-    one_shard = shards == 1
+    total_docs = bags.count()
+    one_shard = total_docs <= docs_per_shard
+    dealt = bags.withColumn("shard", F.lit(0).cast("long")) if one_shard else content_shards(bags, idf, mean, docs_per_shard)
+    shards = 1 if one_shard else -(-total_docs // docs_per_shard)
 
     def first(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -148,7 +201,7 @@ def pack(
 
     # a shard's work is far heavier than its bytes: a fixed number of tasks keeps them apart
     tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.sparkSession.sparkContext.defaultParallelism))
-    dealt = bags.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(tasks, "shard")
+    dealt = dealt.repartition(tasks, "shard")
     packed = settle(dealt.groupBy("shard").applyInArrow(first, schema), "packed")
     parts, level = [packed.where("kept").drop("kept")], 0
     capacity_of = dict(packs)
@@ -156,12 +209,12 @@ def pack(
         most = packed.where("not kept").groupBy("pack_id").count().agg(F.max("count").alias("m")).first()["m"]
         if not most:
             break
-        fewer, level = -(-most // docs_per_shard), level + 1
-        if 2 * fewer > shards > 2 and level > 1:
+        fewer, level = min(-(-most // docs_per_shard), shards - 1), level + 1
+        if most > WIDEST * docs_per_shard * fewer:
             # packing them again no longer helps: they stay as they are
             parts.append(packed.where("not kept").drop("kept"))
             break
-        shards = fewer
+        shards = fewer if level == 1 or 2 * fewer <= shards else max(1, shards // 2)
         rest = packed.where("not kept").select("pack_id", "doc_id", "piece", "token_start", F.col("tokens").alias("size")).join(bags, "doc_id")
         keyed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(shards))).repartition(tasks, "pack_id", "shard")
         packed = settle(keyed.groupBy("pack_id", "shard").applyInArrow(_again(idf, mean, capacity_of, level, full, shards == 1), schema), "packed")
@@ -199,9 +252,10 @@ def _boxes(table, index, item, piece, start, size, pack_id, capacity, level, ful
     back = np.full(index.n, -1, np.int64)
     back[item] = np.arange(len(item))
 
-    def near(i: int) -> np.ndarray:
-        found = back[index.neighbours(int(item[i]))]
-        return found[found >= 0]
+    def near(i: int):
+        for some in index.neighbours(int(item[i])):
+            found = back[some]
+            yield found[found >= 0]
 
     boxes = fill(sizes, capacity, near)
     name = table["shard"][0].as_py() if len(table) else 0
@@ -227,8 +281,8 @@ def _rows(table, pack_id, item, piece, start, size, container, place, kept) -> p
     )
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    flat = column.combine_chunks()
+def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     values, cuts = flat.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]
     return [values[s:e] for s, e in zip(cuts, cuts[1:])]
