@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from photosluice.functions.scalars import bits_of_hash, grid_key, hamming, place
 from photosluice.operators import filters, flow, partition, publish, select
 from photosluice.operators.frames import asset_frame, context_id, merge, split
 from photosluice.operators.logs import log_entries
-from photosluice.operators.nested import child_table, merged_schema, pipeline_steps, tree_nodes
+from photosluice.operators.nested import child_table, child_tables, merged_schema, pipeline_steps, tree_nodes
 from photosluice.operators.similarity import cosine_pairs, hamming_pairs
 from photosluice.plans.stages import Environment, run_pipeline
 from photosluice.sources import cache, library
@@ -566,6 +567,14 @@ def p5_queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child_table(nodes, "sensitive/negative_queries/[]", ["text", "limit"])
 
 
+@query()
+def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All child tables of the merged schema one after another, their columns as JSON."""
+    nodes = tree_nodes(_table(spark, sf_dir, "jobs"), "pipeline_settings", "id")
+    of = {t: child.select(F.lit(t).alias("table"), "node_id", "parent_row", "ordinal", F.to_json(F.struct(*child.columns[4:])).alias("fields")) for t, child in child_tables(nodes).items()}
+    return reduce(DataFrame.unionByName, of.values())
+
+
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = log_entries(_table(spark, sf_dir, "jobs"), "log_output", "id", with_message=False)

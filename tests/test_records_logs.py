@@ -61,6 +61,41 @@ def test_tree_of_values(spark):
     assert sorted((r["ordinal"], r["value"], r["field_c"]) for r in own) == [(0, "1", None), (1, "2.5", None), (2, None, None), (3, None, "x/y")]
 
 
+def test_names_with_separators_keep_their_links(spark):
+    value = {"a": {"b": {"x": 1}}, "a/b": {"x": 2}, "[]": [{"~": 3}], "~1": 4, "": {"": 5}}
+    df = spark.createDataFrame([("1", json.dumps(value))], "id string, v string")
+    nodes = tree_nodes(df, "v", "id")
+    rows = nodes.collect()
+    assert len({r["node_id"] for r in rows}) == len(rows) == 11 and len({r["place"] for r in rows}) == 11
+    by = {r["node_id"]: r for r in rows}
+    up = {r["value"]: [r["name"], *([by[r["parent_id"]]["name"]] if r["parent_id"] in by else [])] for r in rows if r["value"]}
+    assert up == {"1": ["x", "b"], "2": ["x", "a/b"], "3": ["~", None], "4": ["~1"], "5": ["", ""]}
+
+
+def test_text_quoted_often(spark):
+    text = '{"a": [1]}'
+    for _ in range(8):
+        text = json.dumps(text)
+    df = spark.createDataFrame([("1", text), ("2", json.dumps("plain")), ("3", '"broken')], "id string, v string")
+    assert [(r["id"], r["path"]) for r in tree_nodes(df, "v", "id").where("kind = 'bigint'").collect()] == [("1", "a/0")]
+
+
+def test_child_tables_follow_the_merged_schema(spark):
+    from photosluice.operators.nested import child_tables, fields_of
+
+    first = {"who": "x", "steps": [{"n": 1, "deep": {"k": "v"}, "tags": ["t", "u"]}, {"n": 2}]}
+    second = {"steps": [{"other": True, "tags": []}, "bare"], "lone": [[1], [2, 3]]}
+    df = spark.createDataFrame([("1", json.dumps(first)), ("2", json.dumps(second))], "id string, v string")
+    nodes = tree_nodes(df, "v", "id")
+    assert fields_of(nodes) == {"": ["who"], "lone/[]": [], "lone/[]/[]": [], "steps/[]": ["deep/k", "n", "other"], "steps/[]/tags/[]": []}
+    tables = child_tables(nodes)
+    steps = {r["node_id"]: r for r in tables["steps/[]"].collect()}
+    assert sorted((r["ordinal"], r["field_n"], r["field_deep/k"], r["field_other"], r["value"]) for r in steps.values() if r["field_n"]) == [(0, "1", "v", None, None), (1, "2", None, None, None)]
+    tags = tables["steps/[]/tags/[]"].collect()
+    assert sorted((r["ordinal"], r["value"], steps[r["parent_row"]]["field_n"]) for r in tags) == [(0, "t", "1"), (1, "u", "1")]
+    assert tables["lone/[]/[]"].count() == 3
+
+
 def test_very_deep_value(spark):
     text = "[" * 60 + "7" + "]" * 60
     df = spark.createDataFrame([("d", text)], "id string, v string")
