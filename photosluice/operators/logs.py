@@ -1,13 +1,16 @@
 """Log texts of several programs as entries with time, level, component and message.
 
 Every line is reduced to the shape of its head (digits, letters and blanks collapsed). Each
-distinct shape is resolved once to the layout it can belong to; the resolved shapes are joined
-back to the lines, which are then taken apart by their layout's rule only. Lines that begin no
-entry are attached to the entry before them.
+distinct shape is resolved once to the layout it can belong to: one of the given layouts, or, for
+programs that none was given for, the first of a few general rules that takes apart an example of
+the shape. The resolved shapes are joined back to the lines, which are then taken apart by their
+layout's rule only, in one pass. Lines that begin no entry are attached to the entry before them.
+:func:`shape_report` counts the lines of each shape, those of unresolved ones too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from photosluice.core.storage import settle
 
-SHAPE_CHARS = 32
+SHAPE_CHARS = 32  # of a line's shape: what decides on a layout stands there; rules always see whole lines
 RULES_BROADCAST = 100_000  # resolved shapes, at most 10 MB; beyond it they are joined by shuffle
 PROGRESS = "@@PROGRESS@@"
 # fixed values: names of levels
@@ -26,6 +29,7 @@ LEVELS = {
     "ERROR": ("error", "err", "e"),
     "CRITICAL": ("critical", "crit", "fatal", "c", "f"),
 }
+SEVERITIES = ("fatal", "fatal", "crit", "err", "warning", "notice", "info", "debug")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
@@ -46,6 +50,7 @@ class Layout:
     message: int
     form: str
     escaped: bool = False
+    timeless: bool = False
 
 
 LAYOUTS = (
@@ -60,6 +65,17 @@ LAYOUTS = (
     Layout("calendar", r"^a a 9 9:9:9 9 ", r"^([A-Z][a-z]{2} [A-Z][a-z]{2} [ \d]?\d \d\d:\d\d:\d\d \d{4}) (\S+) ([A-Za-z]+): (.*)$", 1, 3, 2, 4, "calendar"),
     Layout("epoch_ms", r"^9 a \(", r"^(\d{12,14}) ([A-Za-z]+) \(([^)]*)\) (.*)$", 1, 2, 3, 4, "millis"),
 )
+_TIME = r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d{1,9})?(?:Z| ?[+-]\d\d:?\d\d)?)"
+_LEVEL = r"[\[(<]?(?i:(trace|debug|dbg|info|notice|warn|warning|err|error|crit|critical|fatal))[\])>]?"
+_COMPONENT = r"[\[(]?([^\s:\[\]()|]+)(?:\[\d+\])?[\])]?"
+# general rules, tried in this order on an example of every shape that no layout takes; group 0 means "none"
+GENERAL = (
+    Layout("syslog", "", r"^<(\d{1,3})>\d{1,2} " + _TIME + r" \S+ (\S+) \S+ \S+ (?:-|\[.*?\])(?: (.*))?$", 2, 1, 3, 4, "iso"),
+    Layout("time_level", "", r"^[\[(]?" + _TIME + r"[\])]?[ |,-]+" + _LEVEL + r"[ |:-]+" + _COMPONENT + r" ?(?::|\||-|—)+ (.*)$", 1, 2, 3, 4, "iso"),
+    Layout("time_component", "", r"^[\[(]?" + _TIME + r"[\])]?[ |,-]+" + _COMPONENT + r"[ |:-]+" + _LEVEL + r" ?(?::|\||-|—)+ (.*)$", 1, 3, 2, 4, "iso"),
+    Layout("letter_day", "", r"^([DIWEF])\d{4} \d\d:\d\d:\d\d\.\d{1,6} +\d+ ([^\s:\]]+):\d+\] (.*)$", 0, 1, 2, 3, "none", timeless=True),
+    Layout("level_only", "", r"^" + _LEVEL + r":? +" + _COMPONENT + r": (.*)$", 0, 1, 2, 3, "none", timeless=True),
+)
 JSON_LAYOUT = "json"
 # fixed values: keys of entries written as JSON
 JSON_KEYS = {
@@ -78,12 +94,34 @@ def shape_of(line: str | Column) -> Column:
     return F.left(c, F.lit(SHAPE_CHARS))
 
 
-def resolved_shapes(lines: DataFrame) -> DataFrame:
-    """(``shape``, ``layout``) of every distinct shape that some layout can have."""
+def resolved_shapes(lines: DataFrame, layouts: Sequence[Layout] = LAYOUTS, general: Sequence[Layout] = ()) -> DataFrame:
+    """(``shape``, ``layout``, ``second``) of every distinct shape that some layout can have.
+
+    ``second`` is the ``general`` rule that takes an example of the shape, for lines that the layout's rule doesn't fit.
+    """
+    return _resolved(lines, layouts, general).where("layout is not null").select("shape", "layout", "second")
+
+
+def _resolved(lines: DataFrame, layouts: Sequence[Layout], general: Sequence[Layout]) -> DataFrame:
     rule = F.when(F.col("shape").startswith("{"), JSON_LAYOUT)
-    for layout in LAYOUTS:
+    for layout in layouts:
         rule = rule.when(F.col("shape").rlike(layout.shape), layout.name)
-    return lines.select("shape").distinct().withColumn("layout", rule).where("layout is not null")
+    second = F.lit(None).cast("string")
+    for layout in reversed(general):
+        second = F.when(F.col("example").rlike(layout.rule), layout.name).otherwise(second)
+    example = F.min("line") if general else F.lit("")
+    found = lines.groupBy("shape").agg(example.alias("example"), F.count("*").alias("lines")).withColumns({"layout": rule, "second": second})
+    return found.withColumn("layout", F.coalesce("layout", "second"))
+
+
+def shape_report(logs: DataFrame, text_col: str, *keys: str, layouts: Sequence[Layout] = LAYOUTS, general: Sequence[Layout] = GENERAL) -> DataFrame:
+    """(``layout``, ``shapes``, ``lines``): how many line shapes and lines each layout takes; null for those that none does.
+
+    Further lines of entries have shapes too, and mostly no layout.
+    """
+    lines = log_lines(logs, text_col, *keys).where(~F.col("line").startswith(PROGRESS) & F.col("line").rlike(r"\S"))
+    found = _resolved(lines.withColumn("shape", shape_of("line")), layouts, general)
+    return found.groupBy("layout").agg(F.count("*").alias("shapes"), F.sum("lines").alias("lines"))
 
 
 def level_name(c: Column) -> Column:
@@ -126,28 +164,47 @@ def _unescaped(c: Column) -> Column:
     return F.coalesce(F.from_json(F.concat(F.lit('{"x":"'), c, F.lit('"}')), "x string")["x"], c)
 
 
-def _head(line: Column) -> Column:
-    """Struct (``ts_us``, ``level``, ``component``, ``message``) of a line by its layout, null where it doesn't fit."""
+def _fields(line: Column, layouts: Sequence[Layout]) -> Column:
+    """Time, level, component and message of a line by its layout's rule, and an empty text; a single text where it doesn't fit."""
+    out = F.when(F.lit(False), F.array(F.lit("")))
+    for layout in layouts:
+        # one pass of the rule; lines that hold the mark themselves are searched group by group
+        groups = [layout.time, layout.level, layout.component, layout.message]
+        fields = F.split(F.regexp_replace(line, layout.rule, _MARK.join(f"${g}" if g else "" for g in groups) + _MARK), _MARK)
+        slow = F.array(*[F.regexp_extract(line, layout.rule, g) if g else F.lit("") for g in groups], F.lit(""))
+        slow = F.when(line.rlike(layout.rule), slow)
+        out = out.when(F.col("layout") == layout.name, F.when(line.contains(_MARK), slow).otherwise(fields))
+    return out
+
+
+_MARK = "\u0001"
+
+
+def _head(line: Column, layouts: Sequence[Layout]) -> Column:
+    """Struct (``ts_us``, ``level``, ``component``, ``message``) of a line from its ``fields``, null where it doesn't fit."""
     j = F.from_json(line, "map<string,string>")
     pick = lambda what: F.coalesce(*[j[k] for k in JSON_KEYS[what]])
     out = F.when(
         F.col("layout") == JSON_LAYOUT,
         F.struct(
             _iso_micros(pick("time")).alias("ts_us"), level_name(pick("level")).alias("level"),
-            pick("component").alias("component"), pick("message").alias("message"),
+            pick("component").alias("component"), pick("message").alias("message"), F.lit(False).alias("timeless"),
         ),
-    )
-    for layout in LAYOUTS:
-        part = lambda g, rule=layout.rule: F.regexp_extract(line, rule, g)
-        level = part(layout.level) if layout.level else F.substring(line, 1, 1)
-        component, message = part(layout.component), part(layout.message)
+    )
+    at = lambda k: F.get("fields", k)
+    for layout in layouts:
+        level, component, message = (at(k) for k in (1, 2, 3))
+        if not layout.level:
+            level = F.substring(line, 1, 1)
+        if layout.name == "syslog":
+            level = F.element_at(F.array(*[F.lit(x) for x in SEVERITIES]), F.expr("try_cast(get(fields, 1) as int) % 8 + 1"))
         if layout.escaped:
             component = F.when(component.startswith('"'), _unescaped(component.substr(F.lit(2), F.length(component) - 2))).otherwise(component)
             message = _unescaped(message)
-        fits = line.rlike(layout.rule)
+        time = F.lit(None).cast("long") if layout.timeless else micros(at(0), layout.form)
         out = out.when(
-            (F.col("layout") == layout.name) & fits,
-            F.struct(micros(part(layout.time), layout.form).alias("ts_us"), level_name(level).alias("level"), component.alias("component"), message.alias("message")),
+            (F.col("layout") == layout.name) & (F.size("fields") == 5),
+            F.struct(time.alias("ts_us"), level_name(level).alias("level"), component.alias("component"), message.alias("message"), F.lit(layout.timeless).alias("timeless")),
         )
     return out
 
@@ -161,7 +218,9 @@ def log_lines(logs: DataFrame, text_col: str, *keys: str) -> DataFrame:
     )
 
 
-def log_entries(logs: DataFrame, text_col: str, *keys: str, with_message: bool = True) -> DataFrame:
+def log_entries(
+    logs: DataFrame, text_col: str, *keys: str, with_message: bool = True, layouts: Sequence[Layout] = LAYOUTS, general: Sequence[Layout] = ()
+) -> DataFrame:
     """The entries of log texts.
 
     Columns: ``keys``, ``first_line``, ``last_line``, ``ts_us``, ``level``, ``component``,
@@ -169,15 +228,23 @@ def log_entries(logs: DataFrame, text_col: str, *keys: str, with_message: bool =
     at its last non-blank line before the next; further lines are added to the message with a line
     feed each. Lines before the first entry and progress lines belong to none. Null and empty
     texts have no entries; rows are told apart by ``keys``, and repeated ones count once.
+
+    ``layouts`` are the programs' layouts; with ``general`` (:data:`GENERAL`), shapes that none of
+    them takes are resolved by general rules, of which some know no time: ``ts_us`` is null then.
     """
     lines = log_lines(logs, text_col, *keys).where(~F.col("line").startswith(PROGRESS))
     shaped = settle(lines.withColumn("shape", shape_of("line")), "lines")
-    rules = settle(resolved_shapes(shaped), "shapes")
+    rules = settle(resolved_shapes(shaped, layouts, general), "shapes")
     if rules.count() <= RULES_BROADCAST:
         rules = F.broadcast(rules)
-    head = _head(F.col("line"))
-    lined = shaped.join(rules, "shape", "left").select(*keys, "line_no", "line", head.alias("h"))
-    begins = F.col("h.ts_us").isNotNull() & F.col("h.level").isNotNull() & F.col("h.component").isNotNull() & F.col("h.message").isNotNull()
+    known = [*layouts, *general]
+    lined = shaped.join(rules, "shape", "left").select(*keys, "line_no", "line", "layout", "second", _fields(F.col("line"), known).alias("fields"))
+    if general:
+        fits = (F.col("layout") == JSON_LAYOUT) | (F.size("fields") == 5)
+        lined = lined.withColumn("layout", F.when(F.coalesce(fits, F.lit(False)), F.col("layout")).otherwise(F.col("second")))
+        lined = lined.withColumn("fields", F.when(F.size("fields") == 5, F.col("fields")).otherwise(_fields(F.col("line"), general)))
+    lined = lined.select(*keys, "line_no", "line", _head(F.col("line"), known).alias("h"))
+    begins = (F.col("h.ts_us").isNotNull() | F.col("h.timeless")) & F.col("h.level").isNotNull() & F.col("h.component").isNotNull() & F.col("h.message").isNotNull()
     lined = lined.withColumn("h", F.when(begins, F.col("h")))
     upto = Window.partitionBy(*keys).orderBy("line_no")
     owned = lined.withColumn("first_line", F.last(F.when(F.col("h").isNotNull(), F.col("line_no")), ignorenulls=True).over(upto)).where("first_line is not null")

@@ -13,7 +13,7 @@ from photosluice.functions.control import next_run
 from photosluice.functions.scalars import bits_of_hash, grid_key, hamming, place, unit_score
 from photosluice.operators import filters, flow, partition, publish, select
 from photosluice.operators.frames import asset_frame, context_id, merge, split
-from photosluice.operators.logs import log_entries
+from photosluice.operators.logs import log_entries, shape_report
 from photosluice.operators.nested import child_table, child_tables, merged_schema, pipeline_steps, tree_nodes
 from photosluice.operators.similarity import cosine_pairs, hamming_pairs
 from photosluice.plans.stages import Environment, run_pipeline
@@ -586,6 +586,11 @@ def p6_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_entries(_table(spark, sf_dir, "jobs"), "log_output", "id").withColumnRenamed("id", "job_id")
 
 
+@query()
+def p6_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_report(_table(spark, sf_dir, "jobs"), "log_output", "id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -161,3 +161,27 @@ def test_shapes_resolve_once(spark):
     rules = resolved_shapes(df).collect()
     assert len(rules) <= 2 * len(LINES) and len({r["shape"] for r in rules}) == len(rules)
     assert df.where(F.length("shape") > 32).count() == 0
+
+
+def test_programs_without_a_layout(spark):
+    from photosluice.operators.logs import GENERAL, shape_report
+
+    text = "\n".join([
+        "2024-05-01T10:00:00Z INFO worker: started",
+        "  more of it",
+        "<165>1 2003-10-11T22:14:15.003Z host app 1234 ID47 - it broke",
+        "W0102 15:04:05.123456 1234 file.cc:12] slow",
+        "ERROR db.pool: lost",
+        "2024-05-01 10:00:01,5 | web | warning | late",
+        "Error while nothing",
+        "2024-05-01T10:00:02Z INFO a\u0001b\u0001c: odd\u0001one",
+    ])
+    df = spark.createDataFrame([("1", text)], "id string, log string")
+    assert log_entries(df, "log", "id").count() == 0
+    got = [tuple(r) for r in log_entries(df, "log", "id", general=GENERAL).orderBy("first_line").select("first_line", "last_line", "level", "component", "message").collect()]
+    assert got == [
+        (1, 2, "INFO", "worker", "started\n  more of it"), (3, 3, "INFO", "app", "it broke"), (4, 4, "WARNING", "file.cc", "slow"), (5, 5, "ERROR", "db.pool", "lost"),
+        (6, 7, "WARNING", "web", "late\nError while nothing"), (8, 8, "INFO", "a\u0001b\u0001c", "odd\u0001one"),
+    ]
+    counts = {r["layout"]: r["lines"] for r in shape_report(df, "log", "id").collect()}
+    assert counts[None] == 2 and counts["time_level"] == 2 and sum(counts.values()) == 8
