@@ -1,13 +1,14 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Lineage is cut only by tables written to the folder named in ``spark.checkpoint.dir``: every
-executor can read them again after a loss. Where the setting is missing (tests), a folder of this
-process is set in its place.
+executor can read them again after a loss. Where the setting is missing in local mode (tests), a
+folder of this process takes its place; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="photosluice-")

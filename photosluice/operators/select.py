@@ -91,6 +91,7 @@ def _mmr(max_picks: int, share: float, quality: float, diversity: float):
             x = np.zeros((n, width.pop()))
             x[known] = np.stack([np.asarray(v, float) for v, k in zip(vectors, known) if k])
             length = np.linalg.norm(x, axis=1)
+            known &= length > 0  # a vector of no length says nothing
             x /= np.where(length > 0, length, 1)[:, None]
         spread = score.max() - score.min()
         level = (score - score.min()) / spread if spread > 0 else np.ones(n)
@@ -125,7 +126,8 @@ def diverse_pick(
     First the best score (smaller id on ties); then, again and again, the largest weighted sum of
     score (scaled to the context's range) and of distance to the nearest pick. Records without an
     embedding add no diversity; without any embedding, scores decide. At most ``max_picks`` and
-    the given share of the context. An embedding with numbers that are not finite counts as none. Flags: ``group_pick``, and ``group_best`` for the first.
+    the given share of the context. An embedding with numbers that are not finite, or of no length, counts as none;
+    embeddings of different sizes in one context are an error. Flags: ``group_pick``, and ``group_best`` for the first.
     """
     columns = df.columns
     rows = settle(ranked(df, KEYS, "pos", F.asc("ord"), F.asc("asset_id")).withColumn("path", F.to_json("ctx")), "scenes")
@@ -150,12 +152,14 @@ def diverse_pick(
 def _mmr_rounds(rows: DataFrame, max_picks: int, share: float, quality: float, diversity: float) -> DataFrame:
     """As :func:`_mmr` for contexts too large for one task: each round picks the best of every context."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    known = F.coalesce((F.size("embedding") > 0) & finite, F.lit(False))
+    known = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0.0), F.lit(False))
+    sizes = F.collect_set(F.when(known, F.size("embedding")))
+    whole = F.when(F.size(sizes) > 1, F.raise_error(F.concat(F.lit("embeddings of different sizes in one context: "), F.to_json(F.array_sort(sizes))))).otherwise(True)
     stats = rows.groupBy("branch", "path").agg(
-        F.min("score").alias("lo"), F.max("score").alias("hi"), F.max(known).alias("any"), pick_limit(F.count("*"), max_picks, share).alias("limit")
+        whole.alias("whole"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.max(known).alias("any"), pick_limit(F.count("*"), max_picks, share).alias("limit")
     )
     level = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
-    state = rows.drop("_n").join(stats, ["branch", "path"]).withColumns({"level": level, "known": known, "nearest": F.lit(0.0)}).drop("lo", "hi")
+    state = rows.drop("_n").join(stats, ["branch", "path"]).where("whole").drop("whole").withColumns({"level": level, "known": known, "nearest": F.lit(0.0)}).drop("lo", "hi")
     state, out = settle(state, "round"), []
     for turn in range(max_picks):
         marginal = quality * F.col("level") + diversity * F.when(F.col("known"), 1 - F.col("nearest")).otherwise(0.0)
@@ -210,20 +214,24 @@ def hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     rows = df.withColumns({"_bits": bits_of_hash("phash"), "_day": F.datediff(utc, F.lit("1970-01-01")), "_us": F.unix_micros("captured_at"), "path": F.to_json("ctx")})
     rows = rows.where("_bits is not null and _us is not null").select("branch", "path", "_at", "_bits", "_day", "_us")
     most = most_distance(threshold)
-    # equal hashes of a day: all join the first
-    first = settle(rows.groupBy("branch", "path", "_day", F.col("_bits").alias("bits")).agg(F.min("_at").alias("n")), "hashes")
-    largest = first.groupBy("branch", "path", "_day").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    same_day = hamming_pairs(first, most, "branch", "path", "_day", rows=largest).select("branch", "path", "i", "j")
-    copies = rows.join(first.withColumnRenamed("bits", "_bits"), ["branch", "path", "_day", "_bits"]).where("_at <> n")
-    copies = copies.select("branch", "path", F.col("n").alias("i"), F.col("_at").alias("j"))
     hour = 3_600_000_000
-    into = F.pmod(F.col("_us"), F.lit(24 * hour))
-    late = rows.where(into >= 23 * hour).select("branch", "path", F.col("_day").alias("d"), F.col("_bits").alias("a"), F.col("_at").alias("i"), F.col("_us").alias("ua"))
-    early = rows.where(into <= hour).select("branch", "path", (F.col("_day") - 1).alias("d"), F.col("_bits").alias("b"), F.col("_at").alias("j"), F.col("_us").alias("ub"))
+    into = lambda c: F.pmod(F.col(c), F.lit(24 * hour))
+    # Records of a day with the same hash resemble the same ones, but for those of the day before, which
+    # only the first hour can reach: of equal hashes after it, and of equal times in it, the first stands for all.
+    rows = rows.withColumn("_t", F.when(into("_us") <= hour, F.col("_us")).otherwise(F.lit(-1)))
+    same = ["branch", "path", "_day", "_bits", "_t"]
+    first = rows.groupBy(*same).agg(F.min("_at").alias("n"), F.min_by("_us", "_at").alias("us"), F.count("*").alias("copies"))
+    first = settle(first, "hashes")
+    largest = first.groupBy("branch", "path", "_day").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    nodes = first.select("branch", "path", "_day", "n", F.col("_bits").alias("bits"))
+    same_day = hamming_pairs(nodes, most, "branch", "path", "_day", rows=largest).select("branch", "path", "i", "j")
+    late = first.where(into("us") >= 23 * hour).select("branch", "path", F.col("_day").alias("d"), F.col("_bits").alias("a"), F.col("n").alias("i"), F.col("us").alias("ua"))
+    early = first.where(into("us") <= hour).select("branch", "path", (F.col("_day") - 1).alias("d"), F.col("_bits").alias("b"), F.col("n").alias("j"), F.col("us").alias("ub"))
     bridge = hamming_join(late, early, most, ["branch", "path", "d"], largest).where(F.col("ub") - F.col("ua") <= hour).select("branch", "path", "i", "j")
-    pairs = same_day.unionByName(copies).unionByName(bridge)
-    pairs = pairs.select("branch", "path", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    return leaders(pairs, "branch", "path")
+    pairs = same_day.unionByName(bridge)
+    led = leaders(pairs.select("branch", "path", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "branch", "path")
+    of = first.join(led, ["branch", "path", "n"], "left").where("copies > 1 or leader is not null")
+    return rows.join(of.select(*same, F.coalesce("leader", "n").alias("leader")), same).select("branch", "path", F.col("_at").alias("n"), "leader")
 
 
 def drop_hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:

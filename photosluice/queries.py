@@ -240,6 +240,30 @@ def part_time_sizes(spark, d):
     return partition.sizes(split_).select(context_id().alias("context"), "n")
 
 
+def _leaders_sql(edges: str = "e", rounds: int = 12) -> str:
+    """CTE ``led`` (``n``, ``lead``): groups around first records over the pairs ``e`` (``i`` < ``j``), in rounds."""
+    out = [f"u0 AS (SELECT i AS n FROM {edges} UNION SELECT j FROM {edges})"]
+    for k in range(1, rounds + 1):
+        u = f"u{k - 1}"
+        out.append(f"l{k} AS (SELECT n FROM {u} WHERE n NOT IN (SELECT j FROM {edges} WHERE i IN (SELECT n FROM {u})))")
+        out.append(f"u{k} AS (SELECT n FROM {u} WHERE n NOT IN (SELECT n FROM l{k}) AND n NOT IN (SELECT j FROM {edges} WHERE i IN (SELECT n FROM l{k})))")
+    every = " UNION ALL ".join(f"SELECT n FROM l{k}" for k in range(1, rounds + 1))
+    out.append(f"lz AS ({every})")
+    out.append(f"led AS (SELECT n, n AS lead FROM lz UNION ALL SELECT j, min(i) FROM {edges} WHERE i IN (SELECT n FROM lz) AND j NOT IN (SELECT n FROM lz) GROUP BY j)")
+    return ", ".join(out)
+
+
+_BITS = "CASE WHEN regexp_full_match(phash, '[0-9A-Fa-f]{16}') THEN ('0x' || phash)::UBIGINT END"
+
+
+def _hash_groups_sql(pool: str) -> str:
+    """CTE ``g`` (a row of ``pool``, ``late``, ``lead``): groups of hashes at most 6 bits apart."""
+    return f"""v AS (SELECT *, row_number() OVER (ORDER BY ord, asset_id) - 1 AS i, {_BITS} AS b FROM {pool}),
+d AS (SELECT b, min(i) AS n FROM v WHERE b IS NOT NULL GROUP BY b),
+e AS (SELECT x.n AS i, y.n AS j FROM d x JOIN d y ON x.n < y.n AND bit_count(xor(x.b, y.b)) <= 6), {_leaders_sql()},
+g AS (SELECT v.*, v.b IS NULL AS late, CASE WHEN v.b IS NULL THEN v.i ELSE coalesce(led.lead, d.n) END AS lead FROM v LEFT JOIN d USING (b) LEFT JOIN led ON led.n = d.n)"""
+
+
 _PLACES = """, p AS (SELECT *, CASE WHEN isnan(latitude) THEN NULL ELSE latitude END AS lat, CASE WHEN isnan(longitude) THEN NULL ELSE longitude END AS lon FROM a)"""
 
 
@@ -255,9 +279,20 @@ def part_time_gps(spark, d):
     return _group(partition.by_time_and_place(_frame(spark, d), 30.0, 500.0))
 
 
-@query()
+@query(
+    ASSETS + _PLACES + f""", l AS (SELECT *, us - lag(us) OVER (ORDER BY us, asset_id) AS gap FROM p WHERE us IS NOT NULL),
+t AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (ORDER BY us, asset_id)::BIGINT - 1 AS big,
+  row_number() OVER (ORDER BY us, asset_id) AS i FROM l),
+w AS (SELECT big, lat, lon, min(i) AS i FROM t WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY big, lat, lon),
+q AS (SELECT x.i AS i, y.i AS j, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2) AS h
+  FROM w x JOIN w y ON x.big = y.big AND x.i < y.i),
+e AS (SELECT i, j FROM q WHERE 2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)) <= 500), {_leaders_sql()},
+s AS (SELECT w.big, w.lat, w.lon, coalesce(lead, w.i) AS sub FROM w LEFT JOIN led ON led.n = w.i),
+m AS (SELECT asset_id, t.big, coalesce(sub, 1000000000) AS sub FROM t LEFT JOIN s ON s.big = t.big AND s.lat = t.lat AND s.lon = t.lon
+  UNION ALL SELECT asset_id, (SELECT coalesce(max(big) + 1, 0) FROM t), 0 FROM a WHERE us IS NULL)
+SELECT asset_id, dense_rank() OVER (ORDER BY big, sub) - 1 AS g FROM m"""
+)
 def part_gps_anchor(spark, d):
-    """Order-dependent within bursts: tested against a plain model."""
     return _group(partition.by_time_and_anchor(_frame(spark, d), 30.0, 500.0))
 
 
@@ -269,12 +304,19 @@ def part_evenly(spark, d):
     return _group(partition.evenly(_by_album(_frame(spark, d)), 4))
 
 
-@query()
+@query(ASSETS + ", " + _hash_groups_sql("a") + " SELECT asset_id, dense_rank() OVER (ORDER BY late, lead) - 1 AS g FROM g")
 def part_phash(spark, d):
     return _group(partition.by_hash(_frame(spark, d), 0.90))
 
 
-@query()
+@query(
+    ASSETS + f""", r AS (SELECT a.asset_id, album_id, v.e, row_number() OVER (ORDER BY album_id NULLS FIRST, ord, a.asset_id) AS i,
+  coalesce(len(v.e) = 64 AND len(list_filter(v.e, lambda x: isfinite(x))) = 64, false) AS ok, coalesce(len(list_filter(v.e, lambda x: x <> 0)) > 0, false) AS some
+  FROM a LEFT JOIN (SELECT asset_id, max(embedding)::DOUBLE[] AS e FROM assets WHERE len(embedding) = 64 GROUP BY 1) v USING (asset_id)),
+e AS (SELECT x.i, y.i AS j FROM r x JOIN r y ON x.album_id IS NOT DISTINCT FROM y.album_id AND x.i < y.i
+  WHERE x.ok AND y.ok AND x.some AND y.some AND list_cosine_similarity(x.e, y.e) >= 0.95), {_leaders_sql()}
+SELECT asset_id, dense_rank() OVER (PARTITION BY album_id ORDER BY NOT ok, coalesce(lead, i)) - 1 AS g FROM r LEFT JOIN led ON led.n = r.i"""
+)
 def part_faiss(spark, d):
     return _group(partition.by_near_vectors(_by_album(_one_size(_frame(spark, d, vectors=True))), 0.95))
 
@@ -314,7 +356,15 @@ def sim_hamming_pairs(spark, d):
     return hamming_pairs(nodes, 6, "album_id").select("album_id", F.col("i").alias("a"), F.col("j").alias("b"))
 
 
-@query()
+@query(
+    ASSETS + f""", v AS (SELECT *, row_number() OVER (ORDER BY us NULLS LAST, asset_id) - 1 AS i, {_BITS} AS b, us // 86400000000 AS day, us % 86400000000 AS into_day FROM a),
+w AS (SELECT * FROM v WHERE b IS NOT NULL AND us IS NOT NULL),
+e AS (SELECT x.i, y.i AS j FROM w x JOIN w y ON x.day = y.day AND x.i < y.i WHERE bit_count(xor(x.b, y.b)) <= 6
+  UNION SELECT x.i, y.i FROM w x JOIN w y ON x.day + 1 = y.day WHERE x.into_day >= 82800000000 AND y.into_day <= 3600000000 AND y.us - x.us <= 3600000000
+  AND bit_count(xor(x.b, y.b)) <= 6), {_leaders_sql()},
+m AS (SELECT lead, asset_id, row_number() OVER (PARTITION BY lead ORDER BY s DESC, asset_id) AS r, dense_rank() OVER (ORDER BY lead) - 1 AS number FROM led JOIN v ON v.i = led.n)
+SELECT a.asset_id, CASE WHEN r = 1 THEN 'phash:' || number END AS group_id FROM a LEFT JOIN m USING (asset_id) WHERE coalesce(r, 1) = 1"""
+)
 def dedup_phash_day(spark, d):
     kept = select.drop_hash_duplicates(_frame(spark, d), 0.90)
     return _picked(kept, "group_id")
@@ -331,6 +381,16 @@ def sel_best(spark, d):
     return select.best(_by_album(_frame(spark, d))).select(F.element_at("ctx", -1)["name"].alias("context"), "asset_id")
 
 
+@query(
+    ASSETS + "SELECT coalesce(album_id, 'none') AS context, asset_id FROM (SELECT *, row_number() OVER (PARTITION BY album_id "
+    "ORDER BY 0.5 * least(1, greatest(0, coalesce(file_size / 8e6, 0))) + 0.5 * s DESC, asset_id) AS r FROM a) WHERE r = 1"
+)
+def sel_best_sharp(spark, d):
+    """File size stands in for sharpness."""
+    frame = _by_album(_frame(spark, d)).withColumn("sharpness", F.col("file_size") / 8e6)
+    return select.best(frame).select(F.element_at("ctx", -1)["name"].alias("context"), "asset_id")
+
+
 @query(
     ASSETS + "SELECT coalesce(album_id, 'none') AS context, asset_id, r - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY album_id "
     "ORDER BY s DESC, coalesce(file_size, 0) DESC, ord, asset_id) AS r FROM a) WHERE r <= 10"
@@ -372,7 +432,23 @@ def sel_avoid_repeat(spark, d):
     return _picked(select.avoid_repeat(_by_album(_frame(spark, d)), RUN_DATE, 30, 50, _last_shown(spark, d)), "fallback_backfilled")
 
 
-@query()
+@query(
+    ASSETS + """, l AS (SELECT *, us - lag(us) OVER (ORDER BY us, asset_id) AS gap FROM a WHERE us IS NOT NULL),
+t AS (SELECT asset_id, s, sum(CASE WHEN gap IS NULL OR gap > 300000000 THEN 1 ELSE 0 END) OVER (ORDER BY us, asset_id) AS g FROM l
+  UNION ALL SELECT asset_id, s, -1 FROM a WHERE us IS NULL),
+v AS (SELECT asset_id, max(embedding)::DOUBLE[] AS e FROM assets WHERE len(embedding) = 64 GROUP BY 1),
+k AS (SELECT t.*, CASE WHEN len(list_filter(e, lambda x: isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e FROM t LEFT JOIN v USING (asset_id)),
+n AS (SELECT *, least(3, greatest(1, ceil(0.33 * count(*) OVER w)), count(*) OVER w) AS most, count(e) OVER w > 0 AS any_known,
+  CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1 END AS level FROM k WINDOW w AS (PARTITION BY g)),
+p0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, asset_id) AS r FROM n) WHERE r = 1),
+c1 AS (SELECT n.*, greatest(0, coalesce(CASE WHEN n.e IS NOT NULL AND p0.e IS NOT NULL THEN list_cosine_similarity(n.e, p0.e) END, 0)) AS near
+  FROM n JOIN p0 USING (g) WHERE n.asset_id <> p0.asset_id AND n.most > 1),
+p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(CASE WHEN any_known THEN 0.3 * level + 0.7 * CASE WHEN e IS NULL THEN 0 ELSE 1 - near END ELSE s END, 12) DESC, asset_id) AS r FROM c1) WHERE r = 1),
+c2 AS (SELECT c1.* REPLACE (greatest(c1.near, coalesce(CASE WHEN c1.e IS NOT NULL AND p1.e IS NOT NULL THEN list_cosine_similarity(c1.e, p1.e) END, 0)) AS near)
+  FROM c1 JOIN p1 USING (g) WHERE c1.asset_id <> p1.asset_id AND c1.most > 2),
+p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(CASE WHEN any_known THEN 0.3 * level + 0.7 * CASE WHEN e IS NULL THEN 0 ELSE 1 - near END ELSE s END, 12) DESC, asset_id) AS r FROM c2) WHERE r = 1)
+SELECT asset_id, 0 AS turn, true AS group_best FROM p0 UNION ALL SELECT asset_id, 1, false FROM p1 UNION ALL SELECT asset_id, 2, false FROM p2"""
+)
 def sel_diverse_pick(spark, d):
     chosen = select.diverse_pick(partition.by_time(_one_size(_frame(spark, d, vectors=True)), 5.0))
     return _picked(chosen, F.element_at("ord", -1).alias("turn"), "group_best")
@@ -476,7 +552,10 @@ def _env(spark: SparkSession, sf_dir: str) -> Environment:
     return Environment(assets=assets, members=assets.select("album_id", "asset_id"), albums=_table(spark, sf_dir, "albums"), history=_last_shown(spark, sf_dir))
 
 
-@query()
+@query(
+    ASSETS + ", z AS (SELECT * FROM a WHERE lower(mime_type) LIKE 'image/%' AND utc >= TIMESTAMP '1970-01-01' AND utc < TIMESTAMP '2101-01-01'), " + _hash_groups_sql("z")
+    + " SELECT asset_id FROM (SELECT asset_id, row_number() OVER (PARTITION BY late, lead ORDER BY s DESC, asset_id) AS r FROM g) WHERE r = 1"
+)
 def composite_phash(spark, d):
     steps = [["source", {"type": "library"}], "filter.non_images", "dedup.phash_composite"]
     return _picked(run_pipeline(steps, _env(spark, d)))
