@@ -25,7 +25,7 @@ from photosluice.llm.neighbours import _paths
 from photosluice.llm.tokens import TOKENIZER, token_bags
 from photosluice.llm.vectors import DIM, unit
 
-DOCS_PER_SHARD = 8000
+DOCS_PER_SHARD = 4000
 FULL = 0.98
 WIDEST = 4  # how many times the documents of a shard a task may hold when open containers are packed again
 FIRST = 256  # neighbours put in order at once
@@ -112,32 +112,35 @@ def content_shards(bags: DataFrame, idf: np.ndarray, mean_size: float, docs_per_
     A partition that the classifier overfills is divided by chance.
     """
 
-    def project(batches):
+    def rows_of(b):
         signs = _signs(len(idf))
+        terms, tfs = (_lists(b.column(b.schema.get_field_index(c))) for c in ("terms", "tf"))
+        size = b.column(b.schema.get_field_index("tokens")).to_numpy(zero_copy_only=False)
+        rows = [bm25_weights(idf, t, f, s, mean_size) @ signs[t] for t, f, s in zip(terms, tfs, size)]
+        return np.asarray(rows, np.float32).reshape(-1, DIM)
+
+    def project(batches):
         for b in batches:
-            terms, tfs = (_lists(b.column(c)) for c in ("terms", "tf"))
-            size = b.column("tokens").to_numpy(zero_copy_only=False)
-            rows = [bm25_weights(idf, t, f, s, mean_size) @ signs[t] for t, f, s in zip(terms, tfs, size)]
-            flat = np.asarray(rows, np.float32).ravel() if rows else np.zeros(0, np.float32)
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * DIM).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "vec"])
+            rows = rows_of(b)
+            cuts = pa.array((np.arange(len(rows) + 1) * DIM).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(rows.ravel()))], names=["vec"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bags.schema)
-    vectors = settle(bags.mapInArrow(project, f"{fields}, vec array<float>"), "projected")
-    model = fit_partitions(vectors, "doc_id", "vec", docs_per_shard, 1.0, least=0.98)
+    # cheap enough to be done again where it is needed, instead of being written
+    vectors = bags.mapInArrow(project, "vec array<float>").withColumn("id", F.lit(0))
+    model = fit_partitions(vectors, "id", "vec", docs_per_shard, 1.0, least=0.98)
 
     def home(batches):
         for b in batches:
-            flat = b.column(b.num_columns - 1)
-            rows = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+            rows = rows_of(b)
             good = np.flatnonzero((rows != 0).any(axis=1))
             part = np.full(len(rows), -1, np.int32)
             if len(good):
                 routes = model.route(unit(rows[good]).astype(np.float32), good)
                 part[good], _ = _paths(len(good), *routes, None, model.partitions)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(part)], names=[*b.schema.names[:-1], "part"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*b.schema.names, "part"])
 
-    placed = settle(vectors.mapInArrow(home, f"{fields}, part int"), "placed")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bags.schema)
+    placed = bags.mapInArrow(home, f"{fields}, part int")
     # at most one row a partition of the model
     counts = placed.groupBy("part").agg(F.ceil(F.count("*") / (1.5 * docs_per_shard)).alias("cuts"))
     chance = F.pmod(F.xxhash64("doc_id"), F.col("cuts"))
