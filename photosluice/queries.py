@@ -240,19 +240,46 @@ def part_time_sizes(spark, d):
     return partition.sizes(split_).select(context_id().alias("context"), "n")
 
 
-def _leaders_sql(edges: str = "e", rounds: int = 12) -> str:
+def _leaders_sql(edges: str = "e", tag: str = "", rounds: int = 12) -> str:
     """CTE ``led`` (``n``, ``lead``): groups around first records over the pairs ``e`` (``i`` < ``j``), in rounds."""
-    out = [f"u0 AS (SELECT i AS n FROM {edges} UNION SELECT j FROM {edges})"]
+    u, lead = (lambda k: f"u{tag}{k}"), (lambda k: f"l{tag}{k}")
+    out = [f"{u(0)} AS (SELECT i AS n FROM {edges} UNION SELECT j FROM {edges})"]
     for k in range(1, rounds + 1):
-        u = f"u{k - 1}"
-        out.append(f"l{k} AS (SELECT n FROM {u} WHERE n NOT IN (SELECT j FROM {edges} WHERE i IN (SELECT n FROM {u})))")
-        out.append(f"u{k} AS (SELECT n FROM {u} WHERE n NOT IN (SELECT n FROM l{k}) AND n NOT IN (SELECT j FROM {edges} WHERE i IN (SELECT n FROM l{k})))")
-    every = " UNION ALL ".join(f"SELECT n FROM l{k}" for k in range(1, rounds + 1))
-    out.append(f"lz AS ({every})")
-    out.append(f"led AS (SELECT n, n AS lead FROM lz UNION ALL SELECT j, min(i) FROM {edges} WHERE i IN (SELECT n FROM lz) AND j NOT IN (SELECT n FROM lz) GROUP BY j)")
+        before = u(k - 1)
+        out.append(f"{lead(k)} AS (SELECT n FROM {before} WHERE n NOT IN (SELECT j FROM {edges} WHERE i IN (SELECT n FROM {before})))")
+        out.append(f"{u(k)} AS (SELECT n FROM {before} WHERE n NOT IN (SELECT n FROM {lead(k)}) AND n NOT IN (SELECT j FROM {edges} WHERE i IN (SELECT n FROM {lead(k)})))")
+    every = " UNION ALL ".join(f"SELECT n FROM {lead(k)}" for k in range(1, rounds + 1))
+    out.append(f"lz{tag} AS ({every})")
+    out.append(f"led{tag} AS (SELECT n, n AS lead FROM lz{tag} UNION ALL SELECT j, min(i) FROM {edges} WHERE i IN (SELECT n FROM lz{tag}) AND j NOT IN (SELECT n FROM lz{tag}) GROUP BY j)")
     return ", ".join(out)
 
 
+_LIBRARY = "z AS (SELECT * FROM a WHERE utc >= TIMESTAMP '1970-01-01' AND utc < TIMESTAMP '2101-01-01')"
+_VECTORS = """ve AS (SELECT asset_id, max(embedding)::DOUBLE[] AS e FROM assets WHERE len(embedding) = 64 GROUP BY 1),
+vk AS (SELECT asset_id, e, len(list_filter(e, lambda x: isfinite(x))) = 64 AS finite, len(list_filter(e, lambda x: x <> 0)) > 0 AS anything FROM ve)"""
+
+
+def _scenes_sql(pool: str, least: float) -> str:
+    """CTE ``sc`` (``asset_id``, ``g``): groups of like vectors within each ``big`` of ``pool`` (``i`` in order)."""
+    return f"""{_VECTORS}, sv AS (SELECT {pool}.*, e, finite AND anything AS ok FROM {pool} LEFT JOIN vk USING (asset_id)),
+es AS (SELECT x.i, y.i AS j FROM sv x JOIN sv y ON x.big = y.big AND x.i < y.i WHERE x.ok AND y.ok AND list_cosine_similarity(x.e, y.e) >= {least}),
+{_leaders_sql("es", "s")}, sc AS (SELECT asset_id, coalesce(lead, i) AS g FROM sv LEFT JOIN leds ON leds.n = sv.i)"""
+
+
+def _mmr_sql(pool: str) -> str:
+    """CTEs ``p0``, ``p1``, ``p2``: up to three picks of each ``g`` of ``pool`` (``asset_id``, ``s``, ``g``, ``e`` or null), at most a third."""
+    value = "round(CASE WHEN any_known THEN 0.3 * level + 0.7 * CASE WHEN e IS NULL THEN 0 ELSE 1 - near END ELSE s END, 12)"
+    near = lambda c, p: f"coalesce(CASE WHEN {c}.e IS NOT NULL AND {p}.e IS NOT NULL THEN list_cosine_similarity({c}.e, {p}.e) END, 0)"
+    best = lambda c: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {value} DESC, asset_id) AS r FROM {c}) WHERE r = 1)"
+    return f"""n AS (SELECT *, least(3, greatest(1, ceil(0.33 * count(*) OVER w)), count(*) OVER w) AS most, count(e) OVER w > 0 AS any_known,
+  CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1 END AS level FROM {pool} WINDOW w AS (PARTITION BY g)),
+p0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, asset_id) AS r FROM n) WHERE r = 1),
+c1 AS (SELECT n.*, greatest(0, {near("n", "p0")}) AS near FROM n JOIN p0 USING (g) WHERE n.asset_id <> p0.asset_id AND n.most > 1),
+p1 AS {best("c1")},
+c2 AS (SELECT c1.* REPLACE (greatest(c1.near, {near("c1", "p1")}) AS near) FROM c1 JOIN p1 USING (g) WHERE c1.asset_id <> p1.asset_id AND c1.most > 2),
+p2 AS {best("c2")}"""
+
+
 _BITS = "CASE WHEN regexp_full_match(phash, '[0-9A-Fa-f]{16}') THEN ('0x' || phash)::UBIGINT END"
 
 
@@ -436,17 +463,7 @@ def sel_avoid_repeat(spark, d):
     ASSETS + """, l AS (SELECT *, us - lag(us) OVER (ORDER BY us, asset_id) AS gap FROM a WHERE us IS NOT NULL),
 t AS (SELECT asset_id, s, sum(CASE WHEN gap IS NULL OR gap > 300000000 THEN 1 ELSE 0 END) OVER (ORDER BY us, asset_id) AS g FROM l
   UNION ALL SELECT asset_id, s, -1 FROM a WHERE us IS NULL),
-v AS (SELECT asset_id, max(embedding)::DOUBLE[] AS e FROM assets WHERE len(embedding) = 64 GROUP BY 1),
-k AS (SELECT t.*, CASE WHEN len(list_filter(e, lambda x: isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e FROM t LEFT JOIN v USING (asset_id)),
-n AS (SELECT *, least(3, greatest(1, ceil(0.33 * count(*) OVER w)), count(*) OVER w) AS most, count(e) OVER w > 0 AS any_known,
-  CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1 END AS level FROM k WINDOW w AS (PARTITION BY g)),
-p0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, asset_id) AS r FROM n) WHERE r = 1),
-c1 AS (SELECT n.*, greatest(0, coalesce(CASE WHEN n.e IS NOT NULL AND p0.e IS NOT NULL THEN list_cosine_similarity(n.e, p0.e) END, 0)) AS near
-  FROM n JOIN p0 USING (g) WHERE n.asset_id <> p0.asset_id AND n.most > 1),
-p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(CASE WHEN any_known THEN 0.3 * level + 0.7 * CASE WHEN e IS NULL THEN 0 ELSE 1 - near END ELSE s END, 12) DESC, asset_id) AS r FROM c1) WHERE r = 1),
-c2 AS (SELECT c1.* REPLACE (greatest(c1.near, coalesce(CASE WHEN c1.e IS NOT NULL AND p1.e IS NOT NULL THEN list_cosine_similarity(c1.e, p1.e) END, 0)) AS near)
-  FROM c1 JOIN p1 USING (g) WHERE c1.asset_id <> p1.asset_id AND c1.most > 2),
-p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(CASE WHEN any_known THEN 0.3 * level + 0.7 * CASE WHEN e IS NULL THEN 0 ELSE 1 - near END ELSE s END, 12) DESC, asset_id) AS r FROM c2) WHERE r = 1)
+""" + _VECTORS + """, k AS (SELECT t.*, CASE WHEN finite AND anything THEN e END AS e FROM t LEFT JOIN vk USING (asset_id)), """ + _mmr_sql("k") + """
 SELECT asset_id, 0 AS turn, true AS group_best FROM p0 UNION ALL SELECT asset_id, 1, false FROM p1 UNION ALL SELECT asset_id, 2, false FROM p2"""
 )
 def sel_diverse_pick(spark, d):
@@ -561,14 +578,34 @@ def composite_phash(spark, d):
     return _picked(run_pipeline(steps, _env(spark, d)))
 
 
-@query()
+def _anchor_sql(pool: str, minutes: int, metres: int) -> str:
+    """CTE ``an`` (``asset_id``, ``big``, ``i``): bursts of timed records of ``pool``, divided around first places."""
+    return f"""la AS (SELECT *, us - lag(us) OVER (ORDER BY us, asset_id) AS gap FROM {pool}),
+ta AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {minutes * 60_000_000} THEN 1 ELSE 0 END) OVER (ORDER BY us, asset_id)::BIGINT AS burst, row_number() OVER (ORDER BY us, asset_id) AS i FROM la),
+wa AS (SELECT burst, lat, lon, min(i) AS i FROM ta WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY burst, lat, lon),
+qa AS (SELECT x.i AS i, y.i AS j, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2) AS h
+  FROM wa x JOIN wa y ON x.burst = y.burst AND x.i < y.i),
+ea AS (SELECT i, j FROM qa WHERE 2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)) <= {metres}), {_leaders_sql("ea", "a")},
+sa AS (SELECT wa.burst, wa.lat, wa.lon, coalesce(lead, wa.i) AS sub FROM wa LEFT JOIN leda ON leda.n = wa.i),
+an AS (SELECT asset_id, s, i, (ta.burst, coalesce(sub, 1000000000)) AS big FROM ta LEFT JOIN sa ON sa.burst = ta.burst AND sa.lat = ta.lat AND sa.lon = ta.lon)"""
+
+
+@query(
+    ASSETS + _PLACES + ", " + _LIBRARY.replace("FROM a", "FROM p") + ", " + _anchor_sql("z", 5, 100) + ", " + _scenes_sql("an", 0.95)
+    + " SELECT asset_id FROM (SELECT asset_id, row_number() OVER (PARTITION BY g ORDER BY s DESC, asset_id) AS r FROM sc JOIN a USING (asset_id)) WHERE r = 1"
+)
 def composite_similar(spark, d):
     env = _env(spark, d)
     env.assets = _one_size(env.assets)
     return _picked(run_pipeline([["source", {"type": "library"}], "dedup.similar"], env))
 
 
-@query()
+@query(
+    ASSETS + ", " + _LIBRARY + """, lt AS (SELECT *, us - lag(us) OVER (ORDER BY us, asset_id) AS gap FROM z),
+tt AS (SELECT asset_id, row_number() OVER (ORDER BY us, asset_id) AS i, sum(CASE WHEN gap IS NULL OR gap > 300000000 THEN 1 ELSE 0 END) OVER (ORDER BY us, asset_id) AS big FROM lt), """
+    + _scenes_sql("tt", 0.85) + ", k AS (SELECT sc.asset_id, g, s, CASE WHEN finite AND anything THEN e END AS e FROM sc JOIN a USING (asset_id) LEFT JOIN vk USING (asset_id)), " + _mmr_sql("k")
+    + " SELECT asset_id, true AS group_best FROM p0 UNION ALL SELECT asset_id, false FROM p1 UNION ALL SELECT asset_id, false FROM p2"
+)
 def composite_scenes(spark, d):
     env = _env(spark, d)
     env.assets = _one_size(env.assets)
