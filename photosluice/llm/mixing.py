@@ -146,6 +146,8 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     by = mixed.groupBy("mix_id", "source").agg(
         F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens")
     )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    by = goal.join(by, ["mix_id", "source"], "left").select("mix_id", "source", "target_share", *map(zero, ("too_often", "foreign", "tokens", "largest")))
     total = by.groupBy("mix_id").agg(F.sum("tokens").alias("total"))
     goal = targets.select("mix_id", plain_source("source").alias("source"), "target_share").groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -153,3 +155,27 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         "mix_id", "source", zero("documents"), zero("copies"), zero("tokens"),
         F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("share"), "target_share",
     )
+
+
+def mix_faults(mixed: DataFrame, docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(``mix_id``, ``source``, ``too_often``, ``foreign``, ``missed``): what must be nothing in every mix.
+
+    Documents taken more than ``max_repeats`` times, documents that the source doesn't have, and
+    whether the source misses its share by more tokens than its largest document has.
+    """
+    goal = targets.where("target_share > 0 and max_repeats > 0").select("mix_id", plain_source("source").alias("source"), "target_share", "max_repeats")
+    goal = goal.groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
+    some = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0))
+    has = some.select(F.col(id_col).alias("doc_id"), plain_source(source_col).alias("source")).distinct().withColumn("has", F.lit(True))
+    goal = goal.join(has.select("source").distinct(), "source", "left_semi")
+    rows = mixed.join(goal, ["mix_id", "source"]).join(has, ["doc_id", "source"], "left")
+    by = rows.groupBy("mix_id", "source").agg(
+        F.sum((F.col("copies") > F.col("max_repeats")).cast("long")).alias("too_often"),
+        F.sum(F.col("has").isNull().cast("long")).alias("foreign"),
+        F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.max("tokens").alias("largest"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    by = goal.join(by, ["mix_id", "source"], "left").select("mix_id", "source", "target_share", *map(zero, ("too_often", "foreign", "tokens", "largest")))
+    total = by.groupBy("mix_id").agg(F.sum("tokens").alias("total"), F.sum("target_share").alias("shares"), F.sum("largest").alias("slack"))
+    off = F.abs(F.col("tokens") - F.col("total") * F.col("target_share") / F.col("shares"))
+    return by.join(total, "mix_id").select("mix_id", "source", "too_often", "foreign", (off > F.col("slack")).alias("missed"))

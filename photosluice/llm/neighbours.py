@@ -24,9 +24,9 @@ def routed(df: DataFrame, id_col: str | Column, vec_col: str, model: PartitionMo
     ``ids``, the ``keep_ids`` smallest ids of the vector's copies. Copies within a batch are
     joined before the shuffle, so that a vector shared by a third of all rows stays small.
 
-    With ``marks``, ids are longs, of which at most ``marks`` come as ``m``, and each row also has
-    ``hp``, its vector's own partition, and ``via``, all partitions in which the vector meets others
-    (but for those of its own dense group).
+    With ``marks``, ids are longs, of which at most ``marks`` come packed as ``m``, and each row also
+    has ``hp``, its vector's own partition; the one stored there has ``via``, packed: the other
+    partitions in which the vector meets others (but for those of its own dense group).
     """
     bounds = None if model.dense is None else model.partitions + np.cumsum(model.blocks * (model.blocks + 1) // 2)
 
@@ -61,39 +61,55 @@ def routed(df: DataFrame, id_col: str | Column, vec_col: str, model: PartitionMo
                     cols.append(pa.array(names[row], pa.string()))
                     fields.append("ids")
                 if marks:
-                    cols += [pa.array(hp[row]), via.take(pa.array(row)), few.take(pa.array(row))]
+                    stays = pa.array(np.where(home, row, 0), mask=~(home & (part == hp[row])))
+                    cols += [pa.array(hp[row]), via.take(stays), few.take(pa.array(row))]
                     fields += ["hp", "via", "m"]
                 yield pa.RecordBatch.from_arrays(cols, names=fields)
 
-    schema = "part int, home boolean, h long, v binary" + (", ids string" if keep_ids else "") + (", hp int, via array<int>, m array<long>" if marks else "")
+    schema = "part int, home boolean, h long, v binary" + (", ids string" if keep_ids else "") + (", hp int, via binary, m binary" if marks else "")
     return df.select(id_col, vec_col, vector_key(vec_col).alias("h")).mapInArrow(route, schema)
 
 
-def _paths(n: int, row: np.ndarray, part: np.ndarray, home: np.ndarray, bounds, plain: int) -> tuple[np.ndarray, pa.ListArray]:
-    """Own partition of each of ``n`` vectors and the list of partitions it meets others in."""
+def _paths(n: int, row: np.ndarray, part: np.ndarray, home: np.ndarray, bounds, plain: int) -> tuple[np.ndarray, pa.Array]:
+    """Own partition of each of ``n`` vectors and, packed, the others that it meets others in."""
     hp = np.full(n, np.iinfo(np.int32).max, np.int32)
     np.minimum.at(hp, row[home], part[home].astype(np.int32))  # the diagonal is the first of a block's partitions
-    keep = slice(None)
+    keep = part != hp[row]
     if bounds is not None:
         group = lambda p: np.searchsorted(bounds, p, side="right")
-        keep = (hp[row] < plain) | (group(part) != group(hp[row]))
-    return hp, _list_of(row[keep], part[keep].astype(np.int32), n)
+        keep &= (hp[row] < plain) | (group(part) != group(hp[row]))
+    return hp, _packed(row[keep], part[keep].astype(np.int32), n)
 
 
-def _few_of(group: np.ndarray, value: np.ndarray, n: int, most: int) -> pa.ListArray:
-    """The ``most`` smallest distinct values of each of ``n`` groups."""
+def _few_of(group: np.ndarray, value: np.ndarray, n: int, most: int) -> pa.Array:
+    """The ``most`` smallest distinct values of each of ``n`` groups, packed."""
     order = np.lexsort((value, group))
     g, v = group[order], value[order]
     new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
     g, v = g[new], v[new]
     keep = np.arange(len(g)) - np.searchsorted(g, g) < most
-    return _list_of(g[keep], v[keep], n)
+    return _packed(g[keep], v[keep], n)
 
 
-def _list_of(group: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+def _packed(group: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
+    """The values of each of ``n`` groups as one binary value, null where there are none."""
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(value[order]))
+    cuts = np.searchsorted(group[order], np.arange(n + 1))
+    some = pa.py_buffer(np.packbits(np.diff(cuts) > 0, bitorder="little"))
+    data = np.ascontiguousarray(value[order])
+    return pa.Array.from_buffers(pa.binary(), n, [some, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column made by :func:`_packed`, and the row of each."""
+    width, at, values, rows = np.dtype(dtype).itemsize, 0, [np.zeros(0, dtype)], [np.zeros(0, np.int64)]
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        cuts = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, c.offset * 4) if len(c) else np.zeros(1, np.int32)
+        if cuts[-1] > cuts[0]:
+            values.append(np.frombuffer(c.buffers()[2], dtype, (cuts[-1] - cuts[0]) // width, cuts[0]))
+            rows.append(at + np.repeat(np.arange(len(c)), np.diff(cuts) // width))
+        at += len(c)
+    return np.concatenate(values), np.concatenate(rows)
 
 
 def partition_arrays(table: pa.Table, dim: int = DIM) -> tuple[np.ndarray, np.ndarray, int, list[str] | None]:

@@ -297,3 +297,24 @@ def fill_report(packed: DataFrame, sizes: DataFrame) -> DataFrame:
     by = boxes.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
     known = sizes.select("pack_id", "capacity_tokens").distinct()
     return by.join(known, "pack_id").select("pack_id", "containers", "items", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"))
+
+
+def pack_faults(packed: DataFrame, docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``pack_id``, ``documents``, ``lost``, ``overfull``, ``repeated``, ``split``) of every pack: what must be nothing but documents.
+
+    Documents without text are not counted; ``split`` are those in pieces though they fit a container.
+    """
+    wanted = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("doc_id")).distinct()
+    packs = sizes.where("capacity_tokens > 0 and pack_id is not null").select("pack_id", "capacity_tokens").distinct()
+    of = packed.groupBy("pack_id", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("distinct"))
+    of = of.join(packs, "pack_id").groupBy("pack_id").agg(
+        F.count("*").alias("documents"),
+        F.sum((F.col("pieces") > F.col("distinct")).cast("long")).alias("repeated"),
+        F.sum(((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).cast("long")).alias("split"),
+    )
+    boxes = packed.groupBy("pack_id", "container").agg(F.sum("tokens").alias("tokens")).join(packs, "pack_id")
+    over = boxes.groupBy("pack_id").agg(F.sum((F.col("tokens") > F.col("capacity_tokens")).cast("long")).alias("overfull"))
+    gone = packs.select("pack_id").join(wanted.agg(F.count("*").alias("wanted")))
+    found = gone.join(of, "pack_id", "left").join(over, "pack_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.select("pack_id", zero("documents"), (F.col("wanted") - F.coalesce("documents", F.lit(0))).alias("lost"), zero("overfull"), zero("repeated"), zero("split"))

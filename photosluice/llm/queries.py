@@ -65,6 +65,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_packed(spark, sf_dir), _table(spark, sf_dir, "pack_sizes"))
 
 
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.core.storage import settle
+    from photosluice.llm.packing import pack_faults
+
+    return pack_faults(settle(p7_packed(spark, sf_dir), "packed"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pack_sizes"))
+
+
 def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photosluice.llm.mixing import mix_sources
 
@@ -77,6 +84,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(p8_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
 
 
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photosluice.core.storage import settle
+    from photosluice.llm.mixing import mix_faults
+
+    return mix_faults(settle(p8_mixed(spark, sf_dir), "mixed"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photosluice.llm.spans import shared_spans
 
@@ -98,8 +112,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p7_packed": p7_packed,
         "p7_fill": p7_fill,
+        "p7_faults": p7_faults,
         "p8_mixed": p8_mixed,
         "p8_shares": p8_shares,
+        "p8_faults": p8_faults,
         "p9_found": p9_found,
         "p9_parts": p9_parts,
     }
@@ -140,6 +156,12 @@ m AS (SELECT DISTINCT partition_id, asset_id FROM context_assets WHERE partition
 r AS (SELECT partition_id, m.asset_id, row_number() OVER (PARTITION BY partition_id ORDER BY coalesce(score, 0) DESC, m.asset_id) AS r
   FROM m LEFT JOIN s USING (asset_id))
 SELECT partition_id, asset_id FROM r WHERE r <= 3""",
+    # no unique answer: what any answer must keep
+    "p7_faults": """WITH n AS (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE length(text) > 0)
+SELECT DISTINCT pack_id, n AS documents, 0 AS lost, 0 AS overfull, 0 AS repeated, 0 AS split FROM pack_sizes, n WHERE capacity_tokens > 0""",
+    "p8_faults": """WITH s AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(source), '[\\s\\p{Z}\\-_./]+', '_', 'g'), '^_+|_+$', '', 'g') AS source
+  FROM documents WHERE length(text) > 0)
+SELECT DISTINCT mix_id, source, 0 AS too_often, 0 AS foreign, false AS missed FROM mix_targets JOIN s USING (source) WHERE target_share > 0 AND max_repeats > 0""",
     "p9_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 160 GROUP BY ALL),
 w AS (SELECT doc_id, p, substr(text, p + 1, 160) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text) - 159)) AS p FROM d)),
 h AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) <> max(doc_id)),
