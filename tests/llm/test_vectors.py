@@ -476,3 +476,17 @@ def test_boruvka_waits_for_edges_that_lead_elsewhere():
             chosen, comp, left = dc.boruvka(len(own), np.array([at.get(a, -1) for _, a, _ in here]), np.array([at.get(b, -1) for _, _, b in here]))
             assert {(a, b) for (_, a, b), c in zip(here, chosen) if c} <= full
             assert all(c or s or (a, b) not in full for (_, a, b), c, s in zip(here, chosen, left))
+
+
+def test_edges_that_one_end_lists_cross_partitions(spark, vectors, monkeypatch):
+    def everywhere(*args, **more):
+        model = fit_partitions(*args, **more)
+        model.margin, model.max_probes = 1e9, 99
+        return model
+
+    monkeypatch.setattr(dc, "fit_partitions", everywhere)
+    x = clustered(31, [14, 11, 9, 7, 5, 4, 3, 3], alone=40)
+    ids = [f"{k:03}" for k in range(len(x))]
+    df = vectors(ids, x.tolist())
+    got = {(r["cluster_key"], r["id"]) for r in dc.density_clusters(df, k=1, rows_per_partition=12, mutual=True).collect()}
+    assert got == groups_of(ids, x.tolist())
