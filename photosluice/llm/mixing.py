@@ -146,8 +146,6 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     by = mixed.groupBy("mix_id", "source").agg(
         F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens")
     )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    by = goal.join(by, ["mix_id", "source"], "left").select("mix_id", "source", "target_share", *map(zero, ("too_often", "foreign", "tokens", "largest")))
     total = by.groupBy("mix_id").agg(F.sum("tokens").alias("total"))
     goal = targets.select("mix_id", plain_source("source").alias("source"), "target_share").groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
