@@ -279,7 +279,7 @@ def fit_partitions(
     if want <= 1:
         return PartitionModel(max_probes=max_probes)
     two = want > fanout
-    first = math.ceil(math.sqrt(want)) if two else want
+    first = min(fanout, math.ceil(math.sqrt(want))) if two else want
     most = min(sample_most, first * SAMPLE_PER_PARTITION)
     x, distinct = sample_units(df, vec_col, total, most, dim)
     model = PartitionModel(max_probes=max_probes, least=least)
