@@ -238,7 +238,8 @@ MMR = [("sim1", 0.8, [1.0, 0.0, 0.0]), ("sim2", 0.79, [0.99, 0.01, 0.0]), ("diff
         ([("a", 0.9, None), ("b", 0.7, None), ("c", 0.8, None)], {"max_picks": 2, "pick_percentage": 1.0}, ["a", "c"]),
         ([("zzz", 0.8, None), ("aaa", 0.8, None)], {"max_picks": 1}, ["aaa"]),
         ([(str(i), 0.5, None) for i in range(5)], {"max_picks": 2, "pick_percentage": 0.5}, ["0", "1"]),
-        ([("a", 0.1, [float("nan"), 0.0]), ("b", None, [0.0, 0.0]), ("c", 0.2, [])], {"max_picks": 3, "pick_percentage": 1.0}, ["c", "b", "a"]),
+        ([("a", 0.1, [float("nan"), 0.0]), ("b", None, [0.0, 0.0]), ("c", 0.2, [])], {"max_picks": 3, "pick_percentage": 1.0}, ["c", "a", "b"]),
+        ([("a", 0.9, [1.0, 0.0]), ("b", 0.8, [0.6, 0.8]), ("z", 0.1, [0.0, 0.0])], {"max_picks": 2, "pick_percentage": 1.0}, ["a", "b"]),
     ],
 )
 def test_diverse_pick(assets, monkeypatch, rounds, rows, params, want):
