@@ -222,12 +222,11 @@ def hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     same = ["branch", "path", "_day", "_bits", "_t"]
     first = rows.groupBy(*same).agg(F.min("_at").alias("n"), F.min_by("_us", "_at").alias("us"), F.count("*").alias("copies"))
     first = settle(first, "hashes")
-    largest = first.groupBy("branch", "path", "_day").count().agg(F.max("count").alias("m")).first()["m"] or 0
     nodes = first.select("branch", "path", "_day", "n", F.col("_bits").alias("bits"))
-    same_day = hamming_pairs(nodes, most, "branch", "path", "_day", rows=largest).select("branch", "path", "i", "j")
-    late = first.where(into("us") >= 23 * hour).select("branch", "path", F.col("_day").alias("d"), F.col("_bits").alias("a"), F.col("n").alias("i"), F.col("us").alias("ua"))
-    early = first.where(into("us") <= hour).select("branch", "path", (F.col("_day") - 1).alias("d"), F.col("_bits").alias("b"), F.col("n").alias("j"), F.col("us").alias("ub"))
-    bridge = hamming_join(late, early, most, ["branch", "path", "d"], largest).where(F.col("ub") - F.col("ua") <= hour).select("branch", "path", "i", "j")
+    same_day = hamming_pairs(nodes, most, "branch", "path", "_day").select("branch", "path", "i", "j")
+    ends = first.select("branch", "path", F.col("_day").alias("d"), F.col("_bits").alias("bits"), "n", F.col("us").alias("t"))
+    late, early = ends.where(into("t") >= 23 * hour), ends.where(into("t") <= hour).withColumn("d", F.col("d") - 1)
+    bridge = hamming_join(late, early, most, ["branch", "path", "d"]).where(F.col("tj") - F.col("ti") <= hour).select("branch", "path", "i", "j")
     pairs = same_day.unionByName(bridge)
     led = leaders(pairs.select("branch", "path", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "branch", "path")
     of = first.join(led, ["branch", "path", "n"], "left").where("copies > 1 or leader is not null")

@@ -19,22 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photosluice.core.storage import settle
-from photosluice.functions.scalars import hamming
 
 BLOCK_ROWS = 2000
+COMPARED = 2000  # nodes of a group up to which every two hashes are compared
 _NEAR = 1e-5
 
 
 def _bands(most: int, rows: int, bits: int) -> tuple[list[tuple[int, int]], int]:
-    """Cuts of a hash and how many of them form a key.
+    """Cuts of a hash and on how many of them two hashes must agree to be compared.
 
     With ``most + r`` bands, two hashes at most ``most`` bits apart agree on ``r`` bands at least,
-    so every combination of ``r`` bands as a key finds each pair. More bands in a key mean more
-    keys but fewer chance meetings; the cheapest ``r`` for this number of rows is taken.
+    so every combination of ``r`` bands finds each pair. More bands mean more sorts but fewer
+    chance meetings; the cheapest ``r`` for this number of rows is taken.
     """
 
     def cost(r: int) -> float:
-        return math.comb(most + r, r) * (1 + rows / 2.0 ** (bits * r / (most + r)))
+        return math.comb(most + r, r) * (30 + rows / 2.0 ** (bits * r / (most + r)))
 
     r = min((r for r in (1, 2, 3) if most + r <= bits), key=cost, default=1)
     n = min(most + r, bits)
@@ -48,24 +48,120 @@ def _mask(lo: int, hi: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def hamming_join(a: DataFrame, b: DataFrame, most: int, keys: Sequence[str], rows: int, bits: int = 64) -> DataFrame:
-    """Rows of ``a`` and ``b`` with equal ``keys`` whose hashes (columns ``a`` and ``b``) differ in at most ``most`` bits.
+def _cells(batches, keys: int, rows: int):
+    """Tables of whole cells, about ``rows`` rows each, of batches sorted by their first ``keys`` columns (longs)."""
+    held, count = [], 0
 
-    Exact, and each pair comes once: by the key of the first bands on which it agrees.
+    def whole():
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids = [table.column(k).to_numpy() for k in range(keys)]
+        same = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in ids]))
+        return table, int(same[-1]) + 1 if len(same) else 0
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= rows:
+            table, cut = whole()
+            if cut:
+                yield table.slice(0, cut).combine_chunks()
+            held = table.slice(cut).to_batches()
+            # a cell larger than this is looked at again only when it has doubled
+            count = 0 if not cut else sum(b.num_rows for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _runs(*sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of each run of equal keys."""
+    n = len(sorted_keys[0])
+    begin = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])]) if n else np.zeros(0, np.int64)
+    return begin, np.r_[begin[1:], n] if n else begin
+
+
+def _close(h: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int):
+    """Pairs of positions within each run whose hashes differ in at most ``most`` bits."""
+    h, size = h.view(np.uint64), end - begin  # of signed numbers the bits of the absolute value would count
+    short = np.flatnonzero((size > 1) & (size <= 64))
+    stop = np.repeat(end[short], size[short])
+    at = stop - (np.arange(len(stop)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])) - 1
+    d = 1
+    while len(at):
+        open_ = at + d < stop
+        at, stop = at[open_], stop[open_]
+        hit = at[np.bitwise_count(h[at] ^ h[at + d]) <= most]
+        if len(hit):
+            yield hit, hit + d
+        d += 1
+    for r in np.flatnonzero(size > 64):
+        e = int(end[r])
+        s = int(begin[r])
+        while s < e:
+            f = min(e, s + max(1, (1 << 19) // (e - s)))
+            i, j = np.nonzero(np.bitwise_count(h[s:f, None] ^ h[None, s:e]) <= most)
+            later = i < j
+            yield i[later] + s, j[later] + s
+            s = f
+
+
+def _near_hashes(nodes: DataFrame, most: int, keys: Sequence[str], bits: int, compared: int) -> DataFrame:
+    """(``keys``, ``i``, ``j``) of nodes (``keys``, ``n``, ``bits`` and, with two sides, ``side`` and ``t``) at most ``most`` bits apart.
+
+    Of groups of up to ``compared`` nodes every two are compared. Larger ones go once to each of
+    ``most + 1`` cells, by the first of the bands on which a pair can agree; further bands are
+    looked up inside the cell, so the shuffle doesn't grow with their combinations. With sides,
+    ``i`` is of side 0 and ``j`` of side 1, and their ``t`` come too (``ti``, ``tj``).
     """
-    bands, r = _bands(most, rows, bits)
+    two = "side" in nodes.columns
+    groups = nodes.groupBy(*keys).agg(F.count("*").alias("_rows"), *([F.count_distinct("side").alias("_sides")] if two else []))
+    groups = groups.where("_sides > 1").drop("_sides") if two else groups.where("_rows > 1")
+    groups = settle(groups.withColumn("_g", F.monotonically_increasing_id()), "groups")
+    bands, r = _bands(most, groups.agg(F.max("_rows").alias("m")).first()["m"] or 0, bits)
+    masks = [_mask(*band) for band in bands]
+    firsts = [F.struct(F.lit(k).cast("long").alias("k"), F.col("bits").bitwiseAND(F.lit(masks[k])).alias("part")) for k in range(len(bands) - r + 1)]
+    whole = F.struct(F.lit(-1).cast("long").alias("k"), F.lit(0).cast("long").alias("part"))
+    cells = F.when(F.col("_rows") <= compared, F.array(whole)).otherwise(F.array(*firsts))
+    more = ["side", "t"] if two else []
+    dealt = nodes.join(groups, list(keys)).select("_g", F.explode(cells).alias("_c"), "n", "bits", *more).select("_g", "_c.k", "_c.part", "n", "bits", *more)
+    dealt = dealt.repartition("_g", "k", "part").sortWithinPartitions("_g", "k", "part")
 
-    def keyed(df: DataFrame, c: str) -> DataFrame:
-        items = [
-            F.struct(F.lit(i).alias("k"), F.lit(combo[-1]).alias("last"), F.col(c).bitwiseAND(F.lit(_or(_mask(*bands[x]) for x in combo))).alias("part"))
-            for i, combo in enumerate(combinations(range(len(bands)), r))
-        ]
-        return df.select("*", F.explode(F.array(*items)).alias("_x")).select("*", "_x.*").drop("_x")
+    def compare(batches):
+        for table in _cells(batches, 3, 1 << 18):
+            g, k, part, h = (table.column(c).to_numpy() for c in ("_g", "k", "part", "bits"))
+            n = table.column("n").combine_chunks()
+            n = n.combine_chunks() if isinstance(n, pa.ChunkedArray) else n
+            if two:
+                side, t = table.column("side").to_numpy(), table.column("t").to_numpy()
 
-    met = keyed(a, "a").join(keyed(b, "b").drop("last"), [*keys, "k", "part"]).where(hamming("a", "b") <= most)
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    earlier = sum(F.when((F.lit(k) < F.col("last")) & (apart.bitwiseAND(F.lit(_mask(*band))) == 0), 1).otherwise(0) for k, band in enumerate(bands))
-    return met.where(earlier == r - 1).drop("k", "part", "last")
+            def out(i, j):
+                if two:
+                    apart = side[i] != side[j]
+                    i, j = i[apart], j[apart]
+                    i, j = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
+                cols = {"_g": pa.array(g[i]), "i": n.take(pa.array(i)), "j": n.take(pa.array(j))}
+                if two:
+                    cols |= {"ti": pa.array(t[i]), "tj": pa.array(t[j])}
+                return pa.RecordBatch.from_pydict(cols)
+
+            for first in np.unique(k):
+                at = np.flatnonzero(k == first)
+                for combo in combinations(range(first + 1, len(bands)), r - 1) if first >= 0 else [()]:
+                    sub = h[at] & _or(masks[x] for x in combo)
+                    order = at[np.lexsort((sub, part[at], g[at]))] if combo else at
+                    hs = h[order]
+                    for i, j in _close(hs, *_runs(g[order], part[order], hs & _or(masks[x] for x in combo)), most):
+                        if first >= 0:
+                            # a pair comes once: by the first bands on which it agrees
+                            apart, last = hs[i] ^ hs[j], combo[-1] if combo else first
+                            once = sum(((apart & masks[x]) == 0).astype(np.int64) for x in range(last)) == r - 1 if last else np.ones(len(i), bool)
+                            i, j = i[once], j[once]
+                        if len(i):
+                            yield out(order[i], order[j])
+
+    kind = nodes.schema["n"].dataType.simpleString()
+    found = dealt.mapInArrow(compare, f"_g long, i {kind}, j {kind}" + (", ti long, tj long" if two else ""))
+    return found.join(groups.drop("_rows"), "_g").drop("_g")
 
 
 def _or(masks) -> int:
@@ -75,17 +171,24 @@ def _or(masks) -> int:
     return out
 
 
-def hamming_pairs(nodes: DataFrame, most: int, *keys: str, bits: int = 64, rows: int | None = None) -> DataFrame:
+def hamming_join(a: DataFrame, b: DataFrame, most: int, keys: Sequence[str], bits: int = 64, compared: int = COMPARED) -> DataFrame:
+    """(``keys``, ``i``, ``j``, ``ti``, ``tj``) of ``a`` and ``b`` (``keys``, ``n``, ``bits``, ``t``) with equal ``keys`` whose hashes differ in at most ``most`` bits.
+
+    Exact, and each pair comes once. ``t`` is a long of one's own.
+    """
+    sides = [x.select(*keys, "n", "bits", F.lit(k).alias("side"), "t") for k, x in enumerate((a, b))]
+    return _near_hashes(sides[0].unionByName(sides[1]), most, keys, bits, compared)
+
+
+def hamming_pairs(nodes: DataFrame, most: int, *keys: str, bits: int = 64, compared: int = COMPARED) -> DataFrame:
     """(``keys``, ``i``, ``j``) with ``i < j`` for nodes (``keys``, ``n``, ``bits``) at most ``most`` bits apart.
 
-    ``rows`` is about the size of the largest group, counted if it isn't given. Nodes should have
-    distinct hashes, else copies meet in pairs.
+    Exact, and each pair comes once. Nodes should have distinct hashes, else copies meet in pairs.
     """
-    if rows is None:
-        by = nodes.groupBy(*keys).count() if keys else nodes.agg(F.count("*").alias("count"))
-        rows = by.agg(F.max("count").alias("m")).first()["m"] or 0
-    a, b = (nodes.select(*keys, F.col("n").alias(n), F.col("bits").alias(x)) for n, x in (("i", "a"), ("j", "b")))
-    return hamming_join(a, b, most, keys, rows, bits).where("i < j").select(*keys, "i", "j")
+    if not keys:
+        return hamming_pairs(nodes.withColumn("_all", F.lit(0)), most, "_all", bits=bits, compared=compared).drop("_all")
+    found = _near_hashes(nodes.select(*keys, "n", "bits"), most, keys, bits, compared)
+    return found.where("i <> j").select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
 
 def cosine_pairs(nodes: DataFrame, threshold: float, *keys: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from photosluice.functions.scalars import hamming, haversine, most_distance
 from photosluice.operators import partition, select
 from photosluice.operators.frames import asset_frame, context_id, merge
-from photosluice.operators.similarity import cosine_pairs, hamming_pairs, leaders
+from photosluice.operators.similarity import _bands, cosine_pairs, hamming_join, hamming_pairs, leaders
 
 
 def groups(df):
@@ -154,6 +154,31 @@ def test_hamming_pairs_against_brute_force(spark):
         assert {(r["i"], r["j"]) for r in hamming_pairs(df, most).collect()} == want
 
 
+def test_hamming_pairs_of_large_groups_shuffle_few_copies(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(8))) for b in base for _ in range(6)]
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    df = spark.createDataFrame([("a" if i % 3 else "b", f"{i:03}", s) for i, s in enumerate(signed)], "k string, n string, bits long")
+    for most in (0, 6, 13):
+        want = {(f"{i:03}", f"{j:03}") for i in range(240) for j in range(i + 1, 240) if bool(i % 3) == bool(j % 3) and bin(values[i] ^ values[j]).count("1") <= most}
+        for compared in (10, 1000):
+            got = [(r["i"], r["j"]) for r in hamming_pairs(df, most, "k", compared=compared).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    for r in (1, 2, 3):
+        # so many combinations of bands went through the shuffle before, of which r = 3 has 84
+        bands, taken = _bands(6, {1: 100, 2: 100_000, 3: 10**9}[r], 64)
+        assert taken == r and len(bands) - taken + 1 == 7
+
+
+def test_hamming_join_of_two_sides(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "d int, n long, bits long, t long")
+    late, early = rows((1, 5, 0, 50), (1, 6, -1, 60), (2, 7, 0, 70)), rows((1, 1, 1, 10), (1, 2, 3, 20), (3, 3, 0, 30))
+    for compared in (1, 100):
+        got = sorted(tuple(r) for r in hamming_join(late, early, 1, ["d"], compared=compared).select("d", "i", "j", "ti", "tj").collect())
+        assert got == [(1, 5, 1, 50, 10)]
+
+
 def test_cosine_pairs_over_blocks(spark):
     rng = random.Random(4)
     vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)] + [[0.0] * 4]
