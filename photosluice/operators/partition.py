@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photosluice.functions.scalars import EARTH_METRES, bits_of_hash, haversine, most_distance, place
-from photosluice.core.storage import settle
+from photosluice.core.storage import settle, unsent
 from photosluice.operators.frames import KEYS, LAST, previous, ranged, ranked, running_sum, split
 from photosluice.operators.similarity import cosine_pairs, hamming_pairs, leaders
 
@@ -97,8 +97,8 @@ def by_time_and_anchor(df: DataFrame, time_window_minutes: float = 5.0, gps_wind
     near = lambda c: haversine(f"{c}.lat", f"{c}.lon", "lat", "lon") <= gps_window_meters
     lead = lambda df, c: df.groupBy(*keys).agg(F.min_by(F.struct("lat", "lon"), "first").alias(c))
     # most bursts have one or two groups, which need no search in order
-    one = spots.join(lead(spots, "p0"), keys).withColumn("n0", near("p0"))
-    two = one.join(lead(one.where("not n0"), "p1"), keys, "left")
+    one = spots.join(unsent(lead(spots, "p0")), keys).withColumn("n0", near("p0"))
+    two = one.join(unsent(lead(one.where("not n0"), "p1")), keys, "left")
     tried = settle(two.select(*keys, "lat", "lon", "first", F.when(F.col("n0"), F.lit(0)).when(near("p1"), F.lit(1)).cast("long").alias("sub")), "tried")
     hard = tried.where("sub is null").select(*keys).distinct()
     searched = tried.join(hard, keys, "left_semi").groupBy(*keys).applyInPandas(
@@ -107,10 +107,10 @@ def by_time_and_anchor(df: DataFrame, time_window_minutes: float = 5.0, gps_wind
     subs = tried.join(hard, keys, "left_anti").drop("first").unionByName(searched)
     subs = settle(subs.select("branch", "path", F.col("big").alias("_g"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "sub"), "places")
     count = subs.groupBy("branch", "path", "_g").agg((F.max("sub") + 1).alias("_n"))
-    joined = bursts.join(subs, ["branch", "path", "_g", "_lat", "_lon"], "left").join(count, ["branch", "path", "_g"], "left")
+    joined = bursts.join(unsent(subs), ["branch", "path", "_g", "_lat", "_lon"], "left").join(unsent(count), ["branch", "path", "_g"], "left")
     joined = settle(joined.withColumn("_sub", F.coalesce("sub", "_n", F.lit(0))), "placed")
     groups = ranked(joined.select(*KEYS, "_g", "_sub").distinct(), KEYS, "_k", F.asc("_g"), F.asc("_sub"))
-    out = joined.join(groups, [*KEYS, "_g", "_sub"])
+    out = joined.join(unsent(groups), [*KEYS, "_g", "_sub"])
     return split(out, "time_gps_anchor", "_k", F.coalesce("_us", F.lit(LAST))).drop("_us", "_lat", "_lon", "_g", "_sub", "_n", "_k", "sub", "path")
 
 
@@ -130,15 +130,15 @@ def by_hash(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     nodes = hashed.groupBy(*KEYS, F.col("_bits").alias("bits")).agg(F.min("_at").alias("n"))
     nodes = settle(nodes.withColumn("path", F.to_json("ctx")), "hashes")
     led = leaders(hamming_pairs(nodes.select("branch", "path", "n", "bits"), most_distance(threshold), "branch", "path"), "branch", "path")
-    of = nodes.join(led, ["branch", "path", "n"], "left").select(*KEYS, F.col("bits").alias("_bits"), F.coalesce("leader", "n").alias("_lead"))
-    return _split_by_leader(df.join(of, [*KEYS, "_bits"], "left"), "phash").drop("_bits")
+    of = nodes.join(unsent(led), ["branch", "path", "n"], "left").select(*KEYS, F.col("bits").alias("_bits"), F.coalesce("leader", "n").alias("_lead"))
+    return _split_by_leader(df.join(unsent(of), [*KEYS, "_bits"], "left"), "phash").drop("_bits")
 
 
 def _split_by_leader(df: DataFrame, name: str) -> DataFrame:
     """Groups in order of their leaders, then the records without one, each alone."""
     df = df.withColumns({"_late": F.col("_lead").isNull(), "_lead": F.coalesce("_lead", "_at")})
     groups = ranked(df.select(*KEYS, "_late", "_lead").distinct(), KEYS, "_g", F.asc("_late"), F.asc("_lead"))
-    return split(df.join(groups, [*KEYS, "_late", "_lead"]), name, "_g").drop("_g", "_lead", "_late", "_at", "path")
+    return split(df.join(unsent(groups), [*KEYS, "_late", "_lead"]), name, "_g").drop("_g", "_lead", "_late", "_at", "path")
 
 
 def _by_vectors(df: DataFrame, name: str, threshold: float) -> DataFrame:
@@ -152,9 +152,9 @@ def _by_vectors(df: DataFrame, name: str, threshold: float) -> DataFrame:
     nodes = df.where("_ok").groupBy("branch", "path", "_key").agg(F.min("_at").alias("n"), F.min_by("embedding", "_at").alias("embedding"))
     pairs = cosine_pairs(nodes.select("branch", "path", "n", "embedding"), threshold, "branch", "path")
     led = leaders(pairs, "branch", "path")
-    of = nodes.select("branch", "path", "_key", "n").join(led, ["branch", "path", "n"], "left")
+    of = nodes.select("branch", "path", "_key", "n").join(unsent(led), ["branch", "path", "n"], "left")
     of = of.select("branch", "path", "_key", F.coalesce("leader", "n").alias("_lead"))
-    return _split_by_leader(df.join(of, ["branch", "path", "_key"], "left"), name).drop("_ok", "_key")
+    return _split_by_leader(df.join(unsent(of), ["branch", "path", "_key"], "left"), name).drop("_ok", "_key")
 
 
 def by_near_vectors(df: DataFrame, threshold: float = 0.95) -> DataFrame:

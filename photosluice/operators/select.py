@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photosluice.functions.scalars import bits_of_hash, cosine, most_distance, parse_day, pick_limit, unit_score
-from photosluice.core.storage import settle
+from photosluice.core.storage import settle, unsent
 from photosluice.operators.frames import KEYS, columns_or_null, in_context, ranked, union_all
 from photosluice.operators.similarity import hamming_join, hamming_pairs, leaders
 from photosluice.sources.library import as_day
@@ -229,8 +229,8 @@ def hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     bridge = hamming_join(late, early, most, ["branch", "path", "d"]).where(F.col("tj") - F.col("ti") <= hour).select("branch", "path", "i", "j")
     pairs = same_day.unionByName(bridge)
     led = leaders(pairs.select("branch", "path", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "branch", "path")
-    of = first.join(led, ["branch", "path", "n"], "left").where("copies > 1 or leader is not null")
-    return rows.join(of.select(*same, F.coalesce("leader", "n").alias("leader")), same).select("branch", "path", F.col("_at").alias("n"), "leader")
+    of = first.join(unsent(led), ["branch", "path", "n"], "left").where("copies > 1 or leader is not null")
+    return rows.join(unsent(of.select(*same, F.coalesce("leader", "n").alias("leader"))), same).select("branch", "path", F.col("_at").alias("n"), "leader")
 
 
 def drop_hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
@@ -242,11 +242,11 @@ def drop_hash_duplicates(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     rows = ranked(df, KEYS, "_at", F.asc_nulls_last("captured_at"), F.asc("asset_id"), F.asc("ord"))
     rows = settle(rows.withColumn("path", F.to_json("ctx")), "timed")
     groups = settle(hash_duplicates(rows, threshold).select("branch", "path", F.col("n").alias("_at"), "leader"), "groups")
-    members = rows.select(*KEYS, "path", "_at", "asset_id", unit_score("score").alias("_s")).join(groups, ["branch", "path", "_at"])
+    members = rows.select(*KEYS, "path", "_at", "asset_id", unit_score("score").alias("_s")).join(unsent(groups), ["branch", "path", "_at"])
     winners = members.groupBy(*KEYS, "path", "leader").agg(F.min(F.struct((-F.col("_s")).alias("s"), "asset_id", "_at")).alias("w"))
     numbered = ranked(winners.select(*KEYS, "path", "leader", F.col("w.asset_id").alias("_winner"), F.col("w._at").alias("_at")), KEYS, "_number", F.asc("leader"))
     numbered = settle(numbered, "winners")
-    losers = members.join(numbered.select("branch", "path", "leader", F.col("_at").alias("_best")), ["branch", "path", "leader"]).where("_at <> _best")
-    kept = rows.join(losers.select("branch", "path", "asset_id").distinct(), ["branch", "path", "asset_id"], "left_anti")
+    losers = members.join(unsent(numbered.select("branch", "path", "leader", F.col("_at").alias("_best"))), ["branch", "path", "leader"]).where("_at <> _best")
+    kept = rows.join(unsent(losers.select("branch", "path", "asset_id").distinct()), ["branch", "path", "asset_id"], "left_anti")
     named = numbered.select("branch", "path", "_at", F.concat(F.lit("phash:"), F.col("_number").cast("string")).alias("group_id"))
-    return kept.drop("group_id").join(named, ["branch", "path", "_at"], "left").drop("_at", "path")
+    return kept.drop("group_id").join(unsent(named), ["branch", "path", "_at"], "left").drop("_at", "path")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photosluice.core.storage import settle
+from photosluice.core.storage import settle, unsent
 
 BLOCK_ROWS = 2000
 COMPARED = 2000  # nodes of a group up to which every two hashes are compared
@@ -243,15 +243,15 @@ def leaders(edges: DataFrame, *keys: str) -> DataFrame:
     undecided = settle(ends, "undecided")
     while undecided.limit(1).count():
         waits = open_edges.select(*on, F.col("j").alias("n")).distinct()
-        lead = settle(undecided.join(waits, [*on, "n"], "left_anti"), "lead")
+        lead = settle(undecided.join(unsent(waits), [*on, "n"], "left_anti"), "lead")
         found.append(lead)
-        covered = open_edges.join(lead.select(*on, F.col("n").alias("i")), [*on, "i"], "left_semi").select(*on, F.col("j").alias("n")).distinct()
+        covered = open_edges.join(unsent(lead.select(*on, F.col("n").alias("i"))), [*on, "i"], "left_semi").select(*on, F.col("j").alias("n")).distinct()
         decided = lead.unionByName(covered)
-        undecided = settle(undecided.join(decided, [*on, "n"], "left_anti"), "undecided")
-        left_i, left_j = (undecided.select(*on, F.col("n").alias(c)) for c in ("i", "j"))
+        undecided = settle(undecided.join(unsent(decided), [*on, "n"], "left_anti"), "undecided")
+        left_i, left_j = (unsent(undecided.select(*on, F.col("n").alias(c))) for c in ("i", "j"))
         open_edges = settle(open_edges.join(left_i, [*on, "i"], "left_semi").join(left_j, [*on, "j"], "left_semi"), "open")
     every = reduce(DataFrame.unionByName, found) if found else ends
-    members = edges.join(every.select(*on, F.col("n").alias("i")), [*on, "i"], "left_semi")
+    members = edges.join(unsent(every.select(*on, F.col("n").alias("i"))), [*on, "i"], "left_semi")
     first = members.groupBy(*on, F.col("j").alias("n")).agg(F.min("i").alias("leader"))
     own = every.select(*on, "n", F.col("n").alias("leader"))
-    return own.unionByName(first.join(every, [*on, "n"], "left_anti"))
+    return own.unionByName(first.join(unsent(every), [*on, "n"], "left_anti"))

@@ -143,6 +143,12 @@ def test_leaders_against_a_model(spark):
         assert [got.get(i, i) for i in range(n)] == want
 
 
+def test_leaders_send_no_table_through_the_driver(spark):
+    chain = spark.range(2000).selectExpr("'k' as k", "id as i", "id + 2000 as j")
+    plan = leaders(chain, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_hamming_pairs_against_brute_force(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(6)]
