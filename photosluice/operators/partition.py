@@ -136,25 +136,35 @@ def by_hash(df: DataFrame, threshold: float = 0.90) -> DataFrame:
 
 def _split_by_leader(df: DataFrame, name: str) -> DataFrame:
     """Groups in order of their leaders, then the records without one, each alone."""
-    df = df.withColumns({"_late": F.col("_lead").isNull(), "_lead": F.coalesce("_lead", "_at")})
-    groups = ranked(df.select(*KEYS, "_late", "_lead").distinct(), KEYS, "_g", F.asc("_late"), F.asc("_lead"))
-    return split(df.join(unsent(groups), [*KEYS, "_late", "_lead"]), name, "_g").drop("_g", "_lead", "_late", "_at", "path")
+    return split(_numbered(df), name, "_g").drop("_g", "_lead", "_late", "_at", "path")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_g``, the number of the group of their ``_lead``."""
+    rows = rows.withColumns({"_late": F.col("_lead").isNull(), "_lead": F.coalesce("_lead", "_at")})
+    groups = ranked(rows.select(*KEYS, "_late", "_lead").distinct(), KEYS, "_g", F.asc("_late"), F.asc("_lead"))
+    return rows.join(unsent(groups), [*KEYS, "_late", "_lead"])
 
 
 def _by_vectors(df: DataFrame, name: str, threshold: float) -> DataFrame:
-    df = _with_position(df)
+    # records are written once with their vectors; positions, keys and groups are found without these
+    records = settle(df.withColumn("_id", F.monotonically_increasing_id()), "records")
+    placed = ranked(records.select(*KEYS, "ord", "asset_id", "_id"), KEYS, "_at", F.asc("ord"), F.asc("asset_id")).select("_id", "_at")
     has = F.coalesce(F.size("embedding") > 0, F.lit(False))
     usable = has & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    df = df.withColumn("_ok", F.coalesce(usable, F.lit(False)))
     # exact copies resemble the same records: only the first of each takes part, unless it has no length
-    key = F.when(F.exists("embedding", lambda x: x != 0.0), F.xxhash64("embedding")).otherwise(F.col("_at"))
-    df = df.withColumn("_key", F.when(F.col("_ok"), key))
-    nodes = df.where("_ok").groupBy("branch", "path", "_key").agg(F.min("_at").alias("n"), F.min_by("embedding", "_at").alias("embedding"))
-    pairs = cosine_pairs(nodes.select("branch", "path", "n", "embedding"), threshold, "branch", "path")
-    led = leaders(pairs, "branch", "path")
+    key = F.when(F.exists("embedding", lambda x: x != 0.0), F.xxhash64("embedding"))
+    marks = records.select(*KEYS, F.to_json("ctx").alias("path"), "_id", F.coalesce(usable, F.lit(False)).alias("_ok"), key.alias("_key"))
+    marks = marks.join(unsent(placed), "_id").withColumn("_key", F.when(F.col("_ok"), F.coalesce("_key", "_at")))
+    marks = settle(marks, "marks")
+    nodes = marks.where("_ok").groupBy("branch", "path", "_key").agg(F.min("_at").alias("n"), F.min_by("_id", "_at").alias("_id"))
+    nodes = settle(nodes, "nodes")
+    vectors = records.select("_id", "embedding").join(unsent(nodes.drop("_key")), "_id").drop("_id")
+    led = leaders(cosine_pairs(vectors, threshold, "branch", "path"), "branch", "path")
     of = nodes.select("branch", "path", "_key", "n").join(unsent(led), ["branch", "path", "n"], "left")
     of = of.select("branch", "path", "_key", F.coalesce("leader", "n").alias("_lead"))
-    return _split_by_leader(df.join(unsent(of), ["branch", "path", "_key"], "left"), name).drop("_ok", "_key")
+    numbers = _numbered(marks.join(unsent(of), ["branch", "path", "_key"], "left")).select("_id", "_g")
+    return split(records.join(unsent(numbers), "_id"), name, "_g").drop("_id", "_g")
 
 
 def by_near_vectors(df: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from photosluice.core.storage import settle, unsent
 
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 4000  # nodes of a group up to which one task compares every two vectors
+BLOCKS, BLOCK_MOST = 8, 100_000  # blocks of a larger group, and nodes of a block from which there are more
 COMPARED = 2000  # nodes of a group up to which every two hashes are compared
 _NEAR = 1e-5
 
@@ -194,44 +195,80 @@ def hamming_pairs(nodes: DataFrame, most: int, *keys: str, bits: int = 64, compa
 def cosine_pairs(nodes: DataFrame, threshold: float, *keys: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(``keys``, ``i``, ``j``, ``cosine``) with ``i < j`` for nodes (``keys``, ``n``, ``embedding``) of that cosine or more.
 
-    ``n`` numbers a group's nodes, at best without gaps. Every group is cut into blocks of
-    ``block_rows`` numbers and each pair of blocks is compared in a task of its own, in double;
-    only similar pairs leave it. All embeddings of a group must have
-    the same size. Vectors of no length resemble nothing.
+    ``n`` numbers a group's nodes, at best evenly. A group of more than ``block_rows`` nodes is cut
+    into blocks, ``BLOCKS`` of them until these reach ``BLOCK_MOST`` nodes, and each pair of blocks
+    is compared in a task, tile by tile, in double; so a node goes through the shuffle ``BLOCKS``
+    times at most up to BLOCKS * BLOCK_MOST nodes, and only similar pairs leave the task. All
+    embeddings of a group must have the same size. Vectors of no length resemble nothing.
     """
     if not keys:
         one = nodes.select("n", "embedding").withColumn("_all", F.lit(0))
         return cosine_pairs(one, threshold, "_all", block_rows=block_rows).drop("_all")
-    blocked = nodes.withColumn("_b", F.floor(F.col("n") / block_rows).cast("int"))
-    most = blocked.groupBy(*keys).agg(F.max("_b").alias("_most"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
-    sized = blocked.join(most, list(keys))
-    b, m = F.col("_b"), F.col("_most")
-    meets = F.transform(F.sequence(F.lit(0), m), lambda o: F.struct(F.least(o, b).alias("lo"), F.greatest(o, b).alias("hi")))
-    dealt = sized.select(*keys, "n", "embedding", "_b", F.explode(meets).alias("_p")).select(*keys, "n", "embedding", "_b", "_p.*")
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = table.column("embedding").combine_chunks()
-        sizes = set(rows.value_lengths().to_pylist())
-        if len(sizes) > 1:
-            raise ValueError(f"embeddings of different sizes in one group: {sorted(sizes)}")
-        x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
-        length = np.sqrt(np.einsum("ij,ij->i", x, x))
-        x = x / np.where(length > 0, length, np.inf)[:, None]
-        n, block = table.column("n").to_numpy(), table.column("_b").to_numpy()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        sims = x[a] @ x[b].T
-        i, j = np.nonzero(sims >= threshold - _NEAR)
-        i, j = a[i], b[j]
+    groups = nodes.groupBy(*keys).agg(F.max("n").alias("_last"), F.count("*").alias("_rows")).where("_rows > 1")
+    blocks = F.greatest(F.least(F.ceil(F.col("_rows") / block_rows), F.lit(BLOCKS)), F.ceil(F.col("_rows") / BLOCK_MOST))
+    groups = settle(groups.select(*keys, "_last", blocks.alias("_blocks"), F.monotonically_increasing_id().alias("_g")), "groups")
+    b = F.floor(F.col("n") * F.col("_blocks") / (F.col("_last") + 1)).cast("long").alias("_b")
+    sized = nodes.join(groups, list(keys)).select("_g", "n", "embedding", "_blocks", b)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("_b")).alias("lo"), F.greatest(o, F.col("_b")).alias("hi")))
+    dealt = sized.select("_g", "n", "embedding", "_b", F.explode(meets).alias("_p")).select("_g", "_p.lo", "_p.hi", "n", "_b", "embedding")
+    dealt = dealt.repartition("_g", "lo", "hi").sortWithinPartitions("_g", "lo", "hi", "_b", "n")
+
+    def compare(batches):
+        for table in _cells(batches, 3, 1 << 14):
+            g, lo, hi, n, block = (table.column(c).to_numpy() for c in ("_g", "lo", "hi", "n", "_b"))
+            rows = table.column("embedding").combine_chunks()
+            rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+            sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
+            begin, end = _runs(g, lo, hi)
+            least, largest = np.minimum.reduceat(sizes, begin), np.maximum.reduceat(sizes, begin)
+            if (least != largest).any():
+                at = int(np.flatnonzero(least != largest)[0])
+                raise ValueError(f"embeddings of different sizes in one group: {sorted({int(x) for x in sizes[begin[at]:end[at]]})}")
+            for size in np.unique(least):
+                runs = np.flatnonzero(least == size)
+                at = np.flatnonzero(sizes == size)
+                x = rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                length = np.sqrt(np.einsum("ij,ij->i", x, x))
+                x /= np.where(length > 0, length, np.inf)[:, None]
+                s = np.searchsorted(at, begin[runs])
+                for i, j, cos in _alike(x, s, s + (end - begin)[runs], block[at], lo[begin[runs]], hi[begin[runs]], threshold):
+                    ni, nj = n[at[i]], n[at[j]]
+                    yield pa.RecordBatch.from_pydict({"_g": g[at[i]], "i": np.minimum(ni, nj), "j": np.maximum(ni, nj), "cosine": cos})
+
+    found = dealt.mapInArrow(compare, "_g long, i long, j long, cosine double")
+    return found.join(groups.drop("_last", "_blocks"), "_g").select(*keys, "i", "j", "cosine")
+
+
+def _alike(x: np.ndarray, begin: np.ndarray, end: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float):
+    """(positions, positions, cosine) of the pairs of each run's blocks with that cosine or more; rows are sorted by block."""
+    size, near = end - begin, _NEAR + x.shape[1] * 1.2e-7
+
+    def kept(i, j):
         cos = np.einsum("ij,ij->i", x[i], x[j])
-        keep = (n[i] < n[j] if lo == hi else n[i] != n[j]) & (cos >= threshold)
-        i, j, cos = i[keep], j[keep], cos[keep]
-        out = {k: table.column(k).take(pa.array(i)) for k in keys}
-        return pa.table(out | {"i": np.minimum(n[i], n[j]), "j": np.maximum(n[i], n[j]), "cosine": cos})
-
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema if f.name in keys]
-    schema = ", ".join([*sorted(kinds, key=lambda k: list(keys).index(k.split()[0])), "i long", "j long", "cosine double"])
-    return dealt.groupBy(*keys, "lo", "hi").applyInArrow(compare, schema)
+        good = cos >= threshold
+        return i[good], j[good], cos[good]
+
+    short = np.flatnonzero((size > 1) & (size <= 32) & (lo == hi))
+    stop = np.repeat(end[short], size[short])
+    at = stop - (np.arange(len(stop)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])) - 1
+    d = 1
+    while len(at):
+        open_ = at + d < stop
+        at, stop = at[open_], stop[open_]
+        if len(at):
+            yield kept(at, at + d)
+        d += 1
+    for r in np.flatnonzero((size > 32) | (lo != hi)):
+        s, e = int(begin[r]), int(end[r])
+        m = s + int(np.searchsorted(block[s:e], hi[r])) if lo[r] != hi[r] else e
+        y = x[s:e].astype(np.float32)
+        for p in range(s, m, 512):
+            q = min(m, p + 512)
+            for u in range(m if m < e else p, e, 4096):
+                v = min(e, u + 4096)
+                i, j = np.nonzero(y[p - s : q - s] @ y[u - s : v - s].T >= threshold - near)
+                i, j = i + p, j + u
+                yield kept(*((i, j) if m < e else (i[i < j], j[i < j])))
 
 
 def leaders(edges: DataFrame, *keys: str) -> DataFrame:

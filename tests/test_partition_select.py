@@ -7,9 +7,10 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from photosluice.functions.scalars import hamming, haversine, most_distance
-from photosluice.operators import partition, select
+from photosluice.core.storage import settle
+from photosluice.operators import frames, partition, select
 from photosluice.operators.frames import asset_frame, context_id, merge
-from photosluice.operators.similarity import _bands, cosine_pairs, hamming_join, hamming_pairs, leaders
+from photosluice.operators.similarity import BLOCKS, _bands, cosine_pairs, hamming_join, hamming_pairs, leaders
 
 
 def groups(df):
@@ -194,12 +195,37 @@ def test_cosine_pairs_over_blocks(spark):
     assert {(r["i"], r["j"]) for r in cosine_pairs(df, 0.6, "k", block_rows=7).collect()} == want
 
 
+def test_cosine_pairs_of_a_large_group_go_through_few_blocks(spark):
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(150)]
+    df = spark.createDataFrame([("a" if i < 120 else "b", i, v) for i, v in enumerate(vectors)], "k string, n long, embedding array<float>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b))
+    want = sorted((i, j) for i in range(150) for j in range(i + 1, 150) if (i < 120) == (j < 120) and cos(vectors[i], vectors[j]) >= 0.7)
+    pairs = cosine_pairs(df, 0.7, "k", block_rows=2)
+    assert sorted((r["i"], r["j"]) for r in pairs.collect()) == want
+    # with blocks of two, group a alone had 60 blocks, and each vector as many copies
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and BLOCKS == 8
+    mixed = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [1.0, 0.0]), ("b", 0, [1.0])], "k string, n long, embedding array<float>")
+    with pytest.raises(Exception, match="different sizes"):
+        cosine_pairs(mixed, 0.5, "k").collect()
+
+
 def test_vector_groups(assets):
     vectors = [[1.0, 0.0], [0.99, 0.01], [0.0, 1.0], None, [2.0, 0.0], [float("nan"), 1.0], [0.0, 0.0], []]
     df = asset_frame(assets(*[{"asset_id": str(i), "embedding": v} for i, v in enumerate(vectors)]))
     assert groups(partition.by_near_vectors(df)) == [["0", "1", "4"], ["2"], ["6"], ["3"], ["5"], ["7"]]
 
 
+def test_positions_of_vector_groups_are_found_without_the_vectors(assets, monkeypatch):
+    wide = []
+    monkeypatch.setattr(partition, "settle", lambda df, name: wide.append((name, "embedding" in df.columns)) or settle(df, name))
+    monkeypatch.setattr(frames, "settle", lambda df, name: wide.append((name, "embedding" in df.columns)) or settle(df, name))
+    df = asset_frame(assets({"asset_id": "a", "embedding": [1.0, 0.0]}, {"asset_id": "b", "embedding": [1.0, 0.1]}, {"asset_id": "c"}))
+    assert groups(partition.by_scene(df)) == [["a", "b"], ["c"]]
+    assert [name for name, has in wide if has] == ["records"]
+
+
 def test_evenly(assets):
     df = asset_frame(assets(*[{"asset_id": str(i)} for i in range(5)]))
     assert groups(partition.evenly(df, 2)) == [["0", "2", "4"], ["1", "3"]]
