@@ -244,9 +244,11 @@ def _alike(x: np.ndarray, begin: np.ndarray, end: np.ndarray, block: np.ndarray,
     size, near = end - begin, _NEAR + x.shape[1] * 1.2e-7
 
     def kept(i, j):
-        cos = np.einsum("ij,ij->i", x[i], x[j])
-        good = cos >= threshold
-        return i[good], j[good], cos[good]
+        for k in range(0, len(i), 1 << 15):  # in a dense group every pair of a tile may be one
+            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            cos = np.einsum("ij,ij->i", x[a], x[b])
+            good = cos >= threshold
+            yield a[good], b[good], cos[good]
 
     short = np.flatnonzero((size > 1) & (size <= 32) & (lo == hi))
     stop = np.repeat(end[short], size[short])
@@ -256,7 +258,7 @@ def _alike(x: np.ndarray, begin: np.ndarray, end: np.ndarray, block: np.ndarray,
         open_ = at + d < stop
         at, stop = at[open_], stop[open_]
         if len(at):
-            yield kept(at, at + d)
+            yield from kept(at, at + d)
         d += 1
     for r in np.flatnonzero((size > 32) | (lo != hi)):
         s, e = int(begin[r]), int(end[r])
@@ -268,7 +270,7 @@ def _alike(x: np.ndarray, begin: np.ndarray, end: np.ndarray, block: np.ndarray,
                 v = min(e, u + 4096)
                 i, j = np.nonzero(y[p - s : q - s] @ y[u - s : v - s].T >= threshold - near)
                 i, j = i + p, j + u
-                yield kept(*((i, j) if m < e else (i[i < j], j[i < j])))
+                yield from kept(*((i, j) if m < e else (i[i < j], j[i < j])))
 
 
 def leaders(edges: DataFrame, *keys: str) -> DataFrame:

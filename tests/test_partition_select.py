@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest import at
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from photosluice.functions.scalars import hamming, haversine, most_distance
 from photosluice.core.storage import settle
 from photosluice.operators import frames, partition, select
 from photosluice.operators.frames import asset_frame, context_id, merge
-from photosluice.operators.similarity import BLOCKS, _bands, cosine_pairs, hamming_join, hamming_pairs, leaders
+from photosluice.operators.similarity import BLOCKS, _alike, _bands, cosine_pairs, hamming_join, hamming_pairs, leaders
 
 
 def groups(df):
@@ -211,6 +212,14 @@ def test_cosine_pairs_of_a_large_group_go_through_few_blocks(spark):
         cosine_pairs(mixed, 0.5, "k").collect()
 
 
+def test_pairs_of_a_dense_group_come_in_small_parts():
+    x = np.full((900, 4), 0.5)
+    zero = np.zeros(1, np.int64)
+    parts = list(_alike(x, zero, zero + 900, np.zeros(900, np.int64), zero, zero, 0.9))
+    assert sum(len(i) for i, _, _ in parts) == 900 * 899 // 2 and max(len(i) for i, _, _ in parts) <= 1 << 15
+    assert len({(a, b) for i, j, _ in parts for a, b in zip(i.tolist(), j.tolist())}) == 900 * 899 // 2
+
+
 def test_vector_groups(assets):
     vectors = [[1.0, 0.0], [0.99, 0.01], [0.0, 1.0], None, [2.0, 0.0], [float("nan"), 1.0], [0.0, 0.0], []]
     df = asset_frame(assets(*[{"asset_id": str(i), "embedding": v} for i, v in enumerate(vectors)]))
