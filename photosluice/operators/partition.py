@@ -109,41 +109,39 @@ def by_time_and_anchor(df: DataFrame, time_window_minutes: float = 5.0, gps_wind
     count = subs.groupBy("branch", "path", "_g").agg((F.max("sub") + 1).alias("_n"))
     joined = bursts.join(unsent(subs), ["branch", "path", "_g", "_lat", "_lon"], "left").join(unsent(count), ["branch", "path", "_g"], "left")
     joined = settle(joined.withColumn("_sub", F.coalesce("sub", "_n", F.lit(0))), "placed")
-    groups = ranked(joined.select(*KEYS, "_g", "_sub").distinct(), KEYS, "_k", F.asc("_g"), F.asc("_sub"))
+    groups = settle(ranked(joined.select(*KEYS, "_g", "_sub").distinct(), KEYS, "_k", F.asc("_g"), F.asc("_sub")), "groups")
     out = joined.join(unsent(groups), [*KEYS, "_g", "_sub"])
     return split(out, "time_gps_anchor", "_k", F.coalesce("_us", F.lit(LAST))).drop("_us", "_lat", "_lon", "_g", "_sub", "_n", "_k", "sub", "path")
 
 
-def _with_position(df: DataFrame) -> DataFrame:
-    return settle(ranked(df, KEYS, "_at", F.asc("ord"), F.asc("asset_id")).withColumn("path", F.to_json("ctx")), "placed")
-
-
 def by_hash(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Groups of similar perceptual hashes, each around its first record in list order.
 
     Two hashes are similar if at most ``int((1 - threshold) * 64)`` bits differ. Groups are ordered
     by their first record; records without a usable hash follow as single ones.
     """
-    df = _with_position(df).withColumn("_bits", bits_of_hash("phash"))
-    hashed = df.where("_bits is not null")
+    # records are written once with all their columns; positions and groups are found without these
+    records = settle(df.withColumn("_id", F.monotonically_increasing_id()), "records")
+    narrow = records.select(*KEYS, "ord", "asset_id", "_id", bits_of_hash("phash").alias("_bits"))
+    placed = ranked(narrow, KEYS, "_at", F.asc("ord"), F.asc("asset_id"))
+    marks = settle(placed.select(*KEYS, F.to_json("ctx").alias("path"), "_id", "_at", "_bits"), "marks")
     # equal hashes always share a group: only the first of each takes part
-    nodes = hashed.groupBy(*KEYS, F.col("_bits").alias("bits")).agg(F.min("_at").alias("n"))
-    nodes = settle(nodes.withColumn("path", F.to_json("ctx")), "hashes")
-    led = leaders(hamming_pairs(nodes.select("branch", "path", "n", "bits"), most_distance(threshold), "branch", "path"), "branch", "path")
-    of = nodes.join(unsent(led), ["branch", "path", "n"], "left").select(*KEYS, F.col("bits").alias("_bits"), F.coalesce("leader", "n").alias("_lead"))
-    return _split_by_leader(df.join(unsent(of), [*KEYS, "_bits"], "left"), "phash").drop("_bits")
-
-
-def _split_by_leader(df: DataFrame, name: str) -> DataFrame:
-    """Groups in order of their leaders, then the records without one, each alone."""
-    return split(_numbered(df), name, "_g").drop("_g", "_lead", "_late", "_at", "path")
+    nodes = marks.where("_bits is not null").groupBy("branch", "path", "_bits").agg(F.min("_at").alias("n"))
+    nodes = settle(nodes, "hashes")
+    led = leaders(hamming_pairs(nodes.select("branch", "path", "n", F.col("_bits").alias("bits")), most_distance(threshold), "branch", "path"), "branch", "path")
+    of = nodes.join(unsent(led), ["branch", "path", "n"], "left").select("branch", "path", "_bits", F.coalesce("leader", "n").alias("_lead"))
+    numbers = _numbered(marks.join(unsent(of), ["branch", "path", "_bits"], "left"))
+    return split(records.join(unsent(numbers), "_id"), "phash", "_g").drop("_id", "_g")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``_g``, the number of the group of their ``_lead``."""
-    rows = rows.withColumns({"_late": F.col("_lead").isNull(), "_lead": F.coalesce("_lead", "_at")})
+    """(``_id``, ``_g``), written out: the number of the group of each row's ``_lead``.
+
+    Groups come in order of their leaders, then the rows without one, each alone.
+    """
+    rows = settle(rows.select(*KEYS, "_id", F.col("_lead").isNull().alias("_late"), F.coalesce("_lead", "_at").alias("_lead")), "led")
     groups = ranked(rows.select(*KEYS, "_late", "_lead").distinct(), KEYS, "_g", F.asc("_late"), F.asc("_lead"))
-    return rows.join(unsent(groups), [*KEYS, "_late", "_lead"])
+    return settle(rows.join(unsent(groups), [*KEYS, "_late", "_lead"]).select("_id", "_g"), "numbers")
 
 
 def _by_vectors(df: DataFrame, name: str, threshold: float) -> DataFrame:
@@ -163,7 +161,7 @@ def _by_vectors(df: DataFrame, name: str, threshold: float) -> DataFrame:
     led = leaders(cosine_pairs(vectors, threshold, "branch", "path"), "branch", "path")
     of = nodes.select("branch", "path", "_key", "n").join(unsent(led), ["branch", "path", "n"], "left")
     of = of.select("branch", "path", "_key", F.coalesce("leader", "n").alias("_lead"))
-    numbers = _numbered(marks.join(unsent(of), ["branch", "path", "_key"], "left")).select("_id", "_g")
+    numbers = _numbered(marks.join(unsent(of), ["branch", "path", "_key"], "left"))
     return split(records.join(unsent(numbers), "_id"), name, "_g").drop("_id", "_g")
 
 

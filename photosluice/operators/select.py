@@ -143,8 +143,9 @@ def diverse_pick(
     picks = picks.unionByName(alone) if one_task > 1 else alone
     if counts.where((F.col("_n") > one_task) & (F.col("_n") > 1)).limit(1).count():
         picks = picks.unionByName(_mmr_rounds(many, max_picks, pick_percentage, quality_weight, diversity_weight))
+    picks = settle(picks, "picks")
     above = F.transform("ctx", lambda x: x["idx"])
-    chosen = rows.join(picks, ["branch", "path", "pos"])
+    chosen = rows.join(unsent(picks), ["branch", "path", "pos"])
     flagged = chosen.withColumns({"ord": F.concat(above, F.array("turn")), "group_pick": F.lit(True), "group_best": F.col("turn") == 0})
     return flagged.select(*columns, "group_pick", *([] if "group_best" in columns else ["group_best"]))
 

@@ -235,6 +235,21 @@ def test_positions_of_vector_groups_are_found_without_the_vectors(assets, monkey
     assert [name for name, has in wide if has] == ["records"]
 
 
+@pytest.mark.parametrize("stage", [partition.by_hash, partition.by_near_vectors, partition.by_time_and_anchor, select.diverse_pick])
+def test_what_a_stage_returns_reads_two_tables(assets, stage):
+    """Else each stage of a composite plans all those before it again, in the driver's memory."""
+    rows = [{"asset_id": i, "phash": H(k), "embedding": [1.0, 0.1 * k], "latitude": 10.0, "longitude": 20.0 + k, "score": 0.5} for k, i in enumerate("abcd")]
+    plan = stage(asset_frame(assets(*rows)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_positions_of_hash_groups_are_found_without_the_vectors(assets, monkeypatch):
+    seen = []
+    monkeypatch.setattr(frames, "settle", lambda df, name: seen.append(df.columns) or settle(df, name))
+    partition.by_hash(asset_frame(assets({"asset_id": "a", "phash": H(1), "embedding": [1.0, 0.0]}, {"asset_id": "b", "phash": None, "embedding": None}))).count()
+    assert seen and not any("embedding" in c for c in seen)
+
+
 def test_evenly(assets):
     df = asset_frame(assets(*[{"asset_id": str(i)} for i in range(5)]))
     assert groups(partition.evenly(df, 2)) == [["0", "2", "4"], ["1", "3"]]
