@@ -490,3 +490,22 @@ def test_edges_that_one_end_lists_cross_partitions(spark, vectors, monkeypatch):
     df = vectors(ids, x.tolist())
     got = {(r["cluster_key"], r["id"]) for r in dc.density_clusters(df, k=1, rows_per_partition=12, mutual=True).collect()}
     assert got == groups_of(ids, x.tolist())
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.14])
+def test_trees_in_bands_have_the_clusters_of_whole_ones(spark, epsilon):
+    rng = np.random.default_rng(5)
+    n = 300
+    edges = [(int(rng.integers(max(0, i - 12), i)), i, float(np.round(rng.uniform(0.01, 0.3), 2))) for i in range(1, n)]
+    tree = spark.createDataFrame(edges, "a long, b long, w double")
+    vertices = spark.createDataFrame([(i, int(rng.integers(1, 4)), 0, 0) for i in range(n)], "h long, n long, x long, deg long")
+    from photosluice.llm.density_clusters import _across
+
+    def found(most):
+        rows, first = _across(tree, vertices, most, 1000, 0.3, 0.14, 3, epsilon).orderBy("h").collect(), {}
+        for r in rows:
+            first.setdefault(r["part"], r["h"])  # the parts' own names mean nothing
+        return [(r["h"], r["cluster"], round(r["lam"], 9), first[r["part"]]) for r in rows]
+
+    whole = found(10**6)
+    assert found(60) == whole and len({c for _, c, _, _ in whole}) > (1 if not epsilon else 0)
